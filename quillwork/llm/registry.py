@@ -5,10 +5,12 @@ from __future__ import annotations
 from .exact_dedup import OP6_SQL, op6_exact_dedup
 from .mixing import op4_mix_sources
 from .sharding import op3_feistel_shards
+from .url_filter import OP2_SQL, op2_url_filter
 
 QUERIES = {
+    "op2_url_filter": op2_url_filter,
     "op3_feistel_shards": op3_feistel_shards,
     "op4_mix_sources": op4_mix_sources,
     "op6_exact_dedup": op6_exact_dedup,
 }
-SQL = {"op6_exact_dedup": OP6_SQL}
+SQL = {"op2_url_filter": OP2_SQL, "op6_exact_dedup": OP6_SQL}
