@@ -5,9 +5,11 @@ from __future__ import annotations
 from .exact_dedup import OP6_SQL, op6_exact_dedup
 from .mixing import op4_mix_sources
 from .sharding import op3_feistel_shards
+from .simhash_dedup import op1_simhash_near_dedup
 from .url_filter import OP2_SQL, op2_url_filter
 
 QUERIES = {
+    "op1_simhash_near_dedup": op1_simhash_near_dedup,
     "op2_url_filter": op2_url_filter,
     "op3_feistel_shards": op3_feistel_shards,
     "op4_mix_sources": op4_mix_sources,
