@@ -6,6 +6,7 @@ from .exact_dedup import OP6_SQL, op6_exact_dedup
 from .mixing import op4_mix_sources
 from .sharding import op3_feistel_shards
 from .simhash_dedup import op1_simhash_near_dedup
+from .toxicity import op10_toxicity
 from .url_filter import OP2_SQL, op2_url_filter
 
 QUERIES = {
@@ -14,5 +15,6 @@ QUERIES = {
     "op3_feistel_shards": op3_feistel_shards,
     "op4_mix_sources": op4_mix_sources,
     "op6_exact_dedup": op6_exact_dedup,
+    "op10_toxicity": op10_toxicity,
 }
 SQL = {"op2_url_filter": OP2_SQL, "op6_exact_dedup": OP6_SQL}
