@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .exact_dedup import OP6_SQL, op6_exact_dedup
 from .mixing import op4_mix_sources
+from .sentencepiece_bpe import op8_sentencepiece
 from .sharding import op3_feistel_shards
 from .simhash_dedup import op1_simhash_near_dedup
 from .toxicity import op10_toxicity
@@ -15,6 +16,7 @@ QUERIES = {
     "op3_feistel_shards": op3_feistel_shards,
     "op4_mix_sources": op4_mix_sources,
     "op6_exact_dedup": op6_exact_dedup,
+    "op8_sentencepiece": op8_sentencepiece,
     "op10_toxicity": op10_toxicity,
 }
 SQL = {"op2_url_filter": OP2_SQL, "op6_exact_dedup": OP6_SQL}
