@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .exact_dedup import OP6_SQL, op6_exact_dedup
+from .lm_score import op5_lm_score
 from .mixing import op4_mix_sources
 from .sentencepiece_bpe import op8_sentencepiece
 from .sharding import op3_feistel_shards
@@ -15,6 +16,7 @@ QUERIES = {
     "op2_url_filter": op2_url_filter,
     "op3_feistel_shards": op3_feistel_shards,
     "op4_mix_sources": op4_mix_sources,
+    "op5_lm_score": op5_lm_score,
     "op6_exact_dedup": op6_exact_dedup,
     "op8_sentencepiece": op8_sentencepiece,
     "op10_toxicity": op10_toxicity,
