@@ -38,7 +38,8 @@ EXACT = 128
 #: Least share of the exact neighbours that the audited queries of a graph must find.
 RECALL = 0.99
 
-FEATURES = f"doc_id {{id}}, node string, hi long, lo long, keys array<long>, shingles array<int>"
+FEATURES = "doc_id {id}, d1 long, d2 long, hi long, lo long, keys array<long>"
+SETS = "d1 long, d2 long, shingles array<int>"
 _LANES = np.uint64(0x0101010101010101)
 
 
@@ -64,32 +65,49 @@ def simhash(h: np.ndarray, start: np.ndarray) -> np.ndarray:
     return out
 
 
+def _digest(h: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """128 bits of each set of shingles, 0 for an empty one."""
+    out = np.zeros((len(start) - 1, 2), np.uint64)
+    full = np.flatnonzero(np.diff(start))
+    for r in range(2):
+        if len(full):
+            out[full, r] = np.add.reduceat(mix(h + np.uint64(0xDA942042E4DD58B5 * (r + 1) % 2**64)), start[full])
+    return out.view(np.int64)
+
+
 def features(batch: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Digest, SimHash and minima of every text."""
     for pdf in batch:
         for first, texts in batches(list(pdf["text"])):
             h, start = shingle_sets(texts)
-            many = np.diff(start)
-            full = np.flatnonzero(many)
+            full = np.flatnonzero(np.diff(start))
             keys = np.zeros((len(texts), KEYS), np.uint64)
-            digest = np.zeros((len(texts), 2), np.uint64)
             if len(full):
                 for r in range(KEYS):
                     keys[full, r] = np.minimum.reduceat(mix(h ^ np.uint64(0x5851F42D4C957F2D * (r + 1) % 2**64)), start[full])
-                for r in range(2):
-                    digest[full, r] = np.add.reduceat(mix(h + np.uint64(0xDA942042E4DD58B5 * (r + 1) % 2**64)), start[full])
-            small = (h >> np.uint64(32)).astype(np.uint32).view(np.int32)
+            digest = _digest(h, start)
             yield pd.DataFrame(
                 {
                     "doc_id": pdf["doc_id"].iloc[first : first + len(texts)].to_numpy(),
-                    "node": [f"{a:016x}{b:016x}" for a, b in digest.tolist()],
+                    "d1": digest[:, 0],
+                    "d2": digest[:, 1],
                     "hi": simhash(h, start).view(np.int64),
                     "lo": simhash(mix(h + np.uint64(0xE7037ED1A0B428DB)), start).view(np.int64),
                     "keys": list(keys.view(np.int64)),
-                    "shingles": [small[a:b] for a, b in zip(start[:-1], start[1:])],
                 }
             )
 
 
+def shingled(batch: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Digest and set of shingles, as their upper 32 bits, of every text."""
+    for pdf in batch:
+        for _, texts in batches(list(pdf["text"])):
+            h, start = shingle_sets(texts)
+            digest, small = _digest(h, start), (h >> np.uint64(32)).astype(np.uint32).view(np.int32)
+            sets = [small[a:b] for a, b in zip(start[:-1], start[1:])]
+            yield pd.DataFrame({"d1": digest[:, 0], "d2": digest[:, 1], "shingles": sets})
+
+
 class SmallWorld:
     """A navigable small-world graph over codes of 128 bits, built in growing batches."""
 
@@ -246,10 +264,9 @@ def _jaccard(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series(out)
 
 
-def verify(pairs: DataFrame, nodes: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+def verify(pairs: DataFrame, sets: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """The pairs whose sets of shingles have at least that Jaccard similarity."""
     jaccard = F.pandas_udf(lambda a, b: _jaccard(a, b), "double")
-    sets = nodes.select("node", "shingles")
     size = F.size
     both = (
         pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a")
@@ -260,10 +277,18 @@ def verify(pairs: DataFrame, nodes: DataFrame, similarity: float = SIMILARITY) -
     return both.select("a", "b", jaccard("x", "y").alias("jaccard")).where(F.col("jaccard") >= similarity)
 
 
+def _sets(docs: DataFrame, nodes: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``(node, shingles)`` of the ``wanted`` nodes, made anew from one text of each."""
+    named = nodes.join(wanted, "node", "left_semi")
+    texts = docs.join(named.select(F.col("first_id").alias("_qw_id")).distinct(), F.col("doc_id").eqNullSafe(F.col("_qw_id")), "left_semi")
+    found = texts.select("text").mapInPandas(shingled, SETS).join(named.select("node", "d1", "d2"), ["d1", "d2"])
+    return found.groupBy("node").agg(F.first("shingles").alias("shingles"))  # ids may repeat
+
+
 def _placed(nodes: DataFrame, group: int = GROUP) -> DataFrame:
     """``(key, node, hi, lo)``: each node under each of its minima, shared minima refined till a key has at most ``group``
     nodes or all minima are used; what is left then is split, each part with the same first node."""
-    rows = nodes.where("size(shingles) > 0").select("node", "hi", "lo", "keys", F.posexplode("keys").alias("r", "key"))
+    rows = nodes.where("d1 <> 0 or d2 <> 0").select("node", "hi", "lo", "keys", F.posexplode("keys").alias("r", "key"))
     rows = rows.withColumn("key", F.xxhash64("r", "key"))
     done = None
     for level in range(1, KEYS + 1):
@@ -298,21 +323,29 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     d = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     kind = d.schema["doc_id"].dataType.simpleString()
     feats = checkpoint(d.mapInPandas(features, FEATURES.format(id=kind)))
-    nodes = checkpoint(feats.groupBy("node").agg(*[F.first(c).alias(c) for c in ("hi", "lo", "keys", "shingles")]))
+    nodes = feats.groupBy("d1", "d2").agg(F.min("doc_id").alias("first_id"), *[F.first(c).alias(c) for c in ("hi", "lo", "keys")])
+    nodes = checkpoint(nodes.withColumn("node", F.monotonically_increasing_id()))
     placed = checkpoint(_placed(nodes))
     shards = max(1, -(-placed.count() // 8192))
     placed = placed.withColumn("shard", F.pmod(F.xxhash64(F.lit(3), "key"), F.lit(shards)))
-    links = None
+    links = sets = None
     for second in (False, True):
-        rows = placed.withColumn("part", F.lit("")) if not second else (
+        rows = placed.withColumn("part", F.expr("0L")) if not second else (
             placed.join(connected_components(links, "a", "b").withColumnRenamed("component", "part"), "node", "left")
             .withColumn("part", F.coalesce("part", "node"))
         )
-        pairs = rows.select("shard", "key", "node", "hi", "lo", "part").groupBy("shard").applyInPandas(_search(second), "a string, b string")
-        found = checkpoint(verify(pairs.distinct(), nodes).select("a", "b"))
+        pairs = rows.select("shard", "key", "node", "hi", "lo", "part").groupBy("shard").applyInPandas(_search(second), "a long, b long")
+        pairs = checkpoint(pairs.distinct())
+        wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+        if sets is not None:  # the first pass found a neighbour of nearly all of them
+            wanted = wanted.join(sets, "node", "left_anti")
+        more = checkpoint(_sets(d, nodes, wanted))
+        sets = more if sets is None else sets.unionByName(more)
+        found = checkpoint(verify(pairs, sets).select("a", "b"))
         links = found if links is None else links.unionByName(found)
     part = connected_components(links, "a", "b")
-    rows = feats.select("doc_id", "node").join(part, "node", "left").select("doc_id", F.coalesce("component", "node").alias("part"))
+    named = nodes.select("d1", "d2", "node").join(part, "node", "left").select("d1", "d2", F.coalesce("component", "node").alias("part"))
+    rows = feats.select("doc_id", "d1", "d2").join(named, ["d1", "d2"])
     classes = rows.groupBy("part").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size"))
     return rows.join(classes, "part").select("doc_id", "class_id", "class_size")
 
