@@ -8,6 +8,7 @@ from .mixing import op4_mix_sources
 from .sentencepiece_bpe import op8_sentencepiece
 from .sharding import op3_feistel_shards
 from .simhash_dedup import op1_simhash_near_dedup
+from .spotsigs import op7_spotsigs
 from .toxicity import op10_toxicity
 from .url_filter import OP2_SQL, op2_url_filter
 
@@ -18,6 +19,7 @@ QUERIES = {
     "op4_mix_sources": op4_mix_sources,
     "op5_lm_score": op5_lm_score,
     "op6_exact_dedup": op6_exact_dedup,
+    "op7_spotsigs": op7_spotsigs,
     "op8_sentencepiece": op8_sentencepiece,
     "op10_toxicity": op10_toxicity,
 }
