@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
+
 from .exact_dedup import OP6_SQL, op6_exact_dedup
 from .lm_score import op5_lm_score
 from .mixing import op4_mix_sources
@@ -13,6 +15,7 @@ from .toxicity import op10_toxicity
 from .url_filter import OP2_SQL, op2_url_filter
 
 QUERIES = {
+    "pipeline": corpus_pipeline.run,
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
     "op2_url_filter": op2_url_filter,
     "op3_feistel_shards": op3_feistel_shards,
@@ -24,3 +27,5 @@ QUERIES = {
     "op10_toxicity": op10_toxicity,
 }
 SQL = {"op2_url_filter": OP2_SQL, "op6_exact_dedup": OP6_SQL}
+if corpus_pipeline.ORACLE_SQL:
+    SQL["pipeline"] = corpus_pipeline.ORACLE_SQL

@@ -312,14 +312,8 @@ def _placed(nodes: DataFrame, group: int = GROUP) -> DataFrame:
     return out if done is None else done.unionByName(out)
 
 
-def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(doc_id, class_id, class_size)`` of every row: classes are the components of the links between texts whose
-    five-word shingles have a Jaccard similarity of 0.8 or more, named by their smallest id.
-
-    Case and punctuation don't count.  Texts of fewer than five words are alike if their words are equal; texts without
-    words, null ones too, are one class.  Rows may repeat an id, each keeps its class; a null id comes last.
-    An empty table gives an empty result.
-    """
+def _classes(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """The features of every row, and the class of each of their nodes."""
     d = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     kind = d.schema["doc_id"].dataType.simpleString()
     feats = checkpoint(d.mapInPandas(features, FEATURES.format(id=kind)))
@@ -345,10 +339,41 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         links = found if links is None else links.unionByName(found)
     part = connected_components(links, "a", "b")
     named = nodes.select("d1", "d2", "node").join(part, "node", "left").select("d1", "d2", F.coalesce("component", "node").alias("part"))
+    return feats, named
+
+
+def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``(doc_id, class_id, class_size)`` of every row: classes are the components of the links between texts whose
+    five-word shingles have a Jaccard similarity of 0.8 or more, named by their smallest id.
+
+    Case and punctuation don't count.  Texts of fewer than five words are alike if their words are equal; texts without
+    words, null ones too, are one class.  Rows may repeat an id, each keeps its class; a null id comes last.
+    An empty table gives an empty result.
+    """
+    feats, named = _classes(docs, id_col, text_col)
     rows = feats.select("doc_id", "d1", "d2").join(named, ["d1", "d2"])
     classes = rows.groupBy("part").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size"))
     return rows.join(classes, "part").select("doc_id", "class_id", "class_size")
 
 
+def without_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` without near copies: of each class one row with the smallest id stays.
+
+    Only the dropped ids are joined.  Ids should tell the rows apart: of rows that repeat id and text one stays, and an id is
+    dropped only if no row of it stays.
+    """
+    classes = checkpoint(near_classes(docs, id_col, text_col))
+    stays = F.col("doc_id").eqNullSafe(F.col("class_id"))
+    ids = classes.groupBy("doc_id").agg(F.max(stays).alias("stays"), F.count("*").alias("n"))
+    dropped = ids.where(~F.col("stays")).select(F.col("doc_id").alias("_qw_id"))
+    kept = docs.join(dropped, F.col(id_col).eqNullSafe(F.col("_qw_id")), "left_anti")
+    again = ids.where("stays and n > 1").select(F.col("doc_id").alias("_qw_id"))
+    if not again.isEmpty():
+        same = F.col(id_col).eqNullSafe(F.col("_qw_id"))
+        one = kept.join(again, same, "left_semi").dropDuplicates([id_col, text_col])
+        kept = kept.join(again, same, "left_anti").unionByName(one)
+    return kept
+
+
 def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_classes(documents(spark, sf_dir))
