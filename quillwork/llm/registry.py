@@ -5,6 +5,7 @@ from __future__ import annotations
 import corpus_pipeline
 
 from .exact_dedup import OP6_SQL, op6_exact_dedup
+from .line_dedup import op9_line_dedup
 from .lm_score import op5_lm_score
 from .mixing import op4_mix_sources
 from .sentencepiece_bpe import op8_sentencepiece
@@ -24,6 +25,7 @@ QUERIES = {
     "op6_exact_dedup": op6_exact_dedup,
     "op7_spotsigs": op7_spotsigs,
     "op8_sentencepiece": op8_sentencepiece,
+    "op9_line_dedup": op9_line_dedup,
     "op10_toxicity": op10_toxicity,
 }
 SQL = {"op2_url_filter": OP2_SQL, "op6_exact_dedup": OP6_SQL}
