@@ -30,7 +30,7 @@ MODEL = os.environ.get("PIECE_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
 SEED = 42
 #: Share of the candidates that is skipped, and segmentations that a word has at most.
 DROPOUT, VARIANTS = 0.1, 4
-#: Segmentations that a Python worker remembers.
+#: Segmentations that a Python worker remembers of its latest texts, and again as many of those before.
 REMEMBERED = 600_000
 #: Words longer than this go through the agenda one by one.
 LONG = 64
@@ -72,6 +72,7 @@ class Pieces:
 
     def lookup(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Score and piece of each merge; no score if there is no such merge."""
+        left, right = left.astype(np.int64), right.astype(np.int64)
         key = np.where((left >= 0) & (right >= 0) & (left < self.size) & (right < self.size), left * self.size + right, -1)
         at = np.minimum(np.searchsorted(self.pair, key), len(self.pair) - 1)
         return np.where(self.pair[at] == key, self.score[at], _NONE), self.made[at]
@@ -145,9 +146,9 @@ def together(p: Pieces, words: list[str], keys: list[int], dropout: float) -> li
     n = len(words)
     length = np.fromiter(map(len, words), np.int64, n)
     size = int(length.max())
-    sym = np.full((n, size + 1), -1, np.int64)
+    sym = np.full((n, size + 1), -1, np.int32)
     sym[np.arange(size + 1) < length[:, None]] = p.symbol[np.frombuffer("".join(words).encode("utf-32-le"), np.uint32)]
-    bound = np.tile(np.arange(size + 2), (n, 1))  # where each symbol begins; the next one's begin is its end
+    bound = np.tile(np.arange(size + 2, dtype=np.int16), (n, 1))  # where each symbol begins; the next one's begin is its end
     key = np.array(keys, np.uint64)[:, None]
     cell = np.arange(size + 1)
 
@@ -201,13 +202,17 @@ class Encoder:
     def __init__(self, path: str = MODEL, seed: int = SEED, dropout: float = DROPOUT):
         self.p, self.seed, self.dropout = pieces(path), seed, dropout
         self.known: list[dict[str, bytes]] = [{} for _ in range(VARIANTS)]
+        self.older: list[dict[str, bytes]] = [{} for _ in range(VARIANTS)]
 
     def learn(self, variant: int, words: set[str]) -> None:
-        known = self.known[variant]
+        known, older = self.known[variant], self.older[variant]
         new = words - known.keys()
         if len(known) + len(new) > REMEMBERED // VARIANTS:
-            known.clear()
-            new = words
+            known, older, new = {}, known, words
+            self.known[variant], self.older[variant] = known, older
+        again = new & older.keys()
+        known.update((w, older[w]) for w in again)
+        new = new - again
         new = sorted(new, key=len)
         for k in range(0, len(new), 4096):
             part = new[k : k + 4096]
@@ -235,9 +240,15 @@ class Encoder:
         return out
 
 
+@lru_cache(1)
+def encoder_of(path: str, seed: int, dropout: float) -> Encoder:
+    """The encoder of this process; what it remembers serves the next tasks too."""
+    return Encoder(path, seed, dropout)
+
+
 def encoded(path: str, seed: int, dropout: float):
     def go(batch: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder = Encoder(path, seed, dropout)
+        encoder = encoder_of(path, seed, dropout)
         for pdf in batch:
             texts, variants = list(pdf["text"]), pdf["variant"].tolist()
             begin = size = 0
