@@ -11,7 +11,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .porter import stem
-from .text import f1, ngrams, safe_div, text_of
+from .text import ngrams, safe_div, text_of
 
 SCORES = "r1p double, r1r double, r1f double, r2p double, r2r double, r2f double, rlp double, rlr double, rlf double, rsp double, rsr double, rsf double"
 
@@ -22,25 +22,29 @@ def plain_tokens(c: Column) -> Column:
 
 
 def _counts(a: Column) -> Column:
-    """Each distinct item with the number of its occurrences: a sorted pass, so it is linear beside the sort."""
-    start = F.struct(F.array().cast("array<struct<x:string,k:int>>").alias("out"), F.lit(None).cast("string").alias("last"), F.lit(0).alias("k"))
-    # numbering repeats turns multisets into sets: the third "a" becomes (a, 3)
-    return F.aggregate(
-        F.array_sort(a), start,
-        lambda s, x: F.struct(
-            F.concat(s["out"], F.array(F.struct(x.alias("x"), F.when(s["last"] == x, s["k"] + 1).otherwise(1).cast("int").alias("k")))).alias("out"),
-            x.alias("last"), F.when(s["last"] == x, s["k"] + 1).otherwise(1).cast("int").alias("k"),
-        ),
-        lambda s: s["out"],
-    )
+    """The multiset as a set: the third "a" becomes (a, 3)."""
+
+    def numbered(s: Column) -> Column:
+        return F.transform(s, lambda x, i: F.struct(x.alias("x"), (i - F.array_position(s, x) + 1).cast("int").alias("k")))
+
+    return F.transform(F.array(F.array_sort(a)), numbered)[0]
 
 
 def rouge_n(prediction: Column, target: Column, n: int) -> Column:
     """Precision, recall and F of the common n-grams, without stemming; repeats count."""
-    p, t = ngrams(plain_tokens(prediction), n), ngrams(plain_tokens(target), n)
-    both = F.size(F.array_intersect(_counts(p), _counts(t)))
-    precision, recall = safe_div(both, F.size(p)), safe_div(both, F.size(t))
-    return F.struct(precision.alias("precision"), recall.alias("recall"), f1(precision, recall).alias("f"))
+
+    def score(x: Column) -> Column:
+        both = F.size(F.array_intersect(_counts(x["p"]), _counts(x["t"])))
+        return F.struct(both.alias("n"), F.size(x["p"]).alias("p"), F.size(x["t"]).alias("t"))
+
+    # as lambdas, so that the n-grams are made once
+    token = F.array(F.struct(plain_tokens(prediction).alias("p"), plain_tokens(target).alias("t")))
+    grams = F.transform(token, lambda x: F.struct(ngrams(x["p"], n).alias("p"), ngrams(x["t"], n).alias("t")))
+    shares = F.transform(
+        F.transform(grams, score),
+        lambda c: F.struct(safe_div(c["n"], c["p"]).alias("precision"), safe_div(c["n"], c["t"]).alias("recall"), safe_div(2 * c["n"], c["p"] + c["t"]).alias("f")),
+    )
+    return shares[0]
 
 
 def word_list(text: str | None, stemmed: bool = True) -> list[str]:

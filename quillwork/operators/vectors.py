@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+import zlib
 from typing import Protocol
 
 import numpy as np
@@ -38,16 +40,24 @@ class Encoder(Protocol):
 
 
 class HashedWords:
-    """Counts of tokens in buckets of their hash, at length 1: an encoder that needs no model."""
+    """Counts of tokens in buckets of their checksum, at length 1: an encoder that needs no model."""
 
     def __init__(self, buckets: int = 64):
         self.buckets = buckets
 
     def encode(self, text: Column) -> Column:
-        at = F.transform(T.tokens(text), lambda t: (F.conv(F.substring(F.md5(t.cast("binary")), 1, 8), 16, 10).cast("long") % self.buckets).cast("int"))
-        places = F.sequence(F.lit(0), F.lit(self.buckets - 1))
-        counts = F.transform(F.array(at), lambda a: F.transform(places, lambda p: F.size(F.filter(a, lambda x: x == p)).cast("double")))[0]
-        return normalized(counts)
+        n = self.buckets
+        pattern = re.compile(T.TOKEN)
+
+        def vectors(texts: pd.Series) -> pd.Series:
+            out = np.zeros((len(texts), n))
+            for i, t in enumerate(texts):
+                at = [zlib.crc32(w.lower().encode()) % n for w in pattern.findall(t or "")]
+                out[i] = np.bincount(at, minlength=n) if at else 0
+            out /= np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-12)
+            return pd.Series(list(out))
+
+        return F.pandas_udf(vectors, "array<double>")(text)
 
 
 def scores(queries: DataFrame, docs: DataFrame, digits: int = 6) -> DataFrame:

@@ -49,12 +49,12 @@ def build(papers: DataFrame, pool: DataFrame, split: str, encoder: V.Encoder | N
     chunks = chunk_table(papers, encoder, least).persist()
     distractors = chunk_table(pool, encoder, 1).persist()
     k = BUILD.final_k if design == "additive" else BUILD.substitutive_clean_k
-    asked = clean_contexts(papers, chunks, encoder, k)
+    asked = clean_contexts(papers, chunks, encoder, k).persist()
     gold = chunks.groupBy(F.col("source_doc_id").alias("paper_id")).agg(F.sort_array(F.collect_list("doc_id")).alias("relevant_chunk_ids"))
     found = asked.groupBy("paper_id").agg(
         F.transform(F.sort_array(F.collect_list(F.struct("rank", "doc_id", "source_doc_id", "score"))), lambda x: x).alias("r")
     )
-    scored = pool_scores(distractors, encoder)
+    scored = pool_scores(distractors, encoder).persist()
     texts = chunks.select("doc_id", "text").unionByName(distractors.select("doc_id", "text"))
     modes = ["clean", "cross_doc_easy", "cross_doc_hard"] if design == "additive" else ["cross_doc_easy", "cross_doc_hard"]
     parts = []
