@@ -24,14 +24,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import documents
-from .shingles import mix
+from .shingles import mix, release
 
 MODEL = os.environ.get("PIECE_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
 SEED = 42
 #: Share of the candidates that is skipped, and segmentations that a word has at most.
 DROPOUT, VARIANTS = 0.1, 4
 #: Segmentations that a Python worker remembers of its latest texts, and again as many of those before.
-REMEMBERED = 600_000
+REMEMBERED = 400_000
 #: Words longer than this go through the agenda one by one.
 LONG = 64
 _NONE = np.int64(-(1 << 40))
@@ -253,13 +253,14 @@ def encoded(path: str, seed: int, dropout: float):
             texts, variants = list(pdf["text"]), pdf["variant"].tolist()
             begin = size = 0
             for i in range(len(texts) + 1):
-                if i == len(texts) or size > 1 << 20:
+                if i == len(texts) or size > 1 << 19:
                     ids = encoder.encode(texts[begin:i], variants[begin:i])
                     count = [None if x is None else len(x) for x in ids]
                     yield pd.DataFrame({"doc_id": pdf["doc_id"].iloc[begin:i].to_numpy(), "n_pieces": pd.array(count, "Int64"), "ids": ids})
                     begin, size = i, 0
                 if i < len(texts):
                     size += len(texts[i] or "")
+        release()
 
     return go
 

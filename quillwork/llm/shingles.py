@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 
 #: Words of a shingle.
 WORDS = 5
 #: Bytes of text that are worked on together; what a batch needs beside them is a fixed multiple.
-BATCH_BYTES = 2 << 20
+BATCH_BYTES = 1 << 20
 
 _WORD = np.zeros(256, bool)
 _WORD[[*range(48, 58), *range(65, 91), *range(97, 123), 95]] = True
@@ -24,6 +26,14 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
+def release() -> None:
+    """Gives memory that is free back to the system, as a worker lives on beside the executor after its task."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # not every C library has it
+    if trim:
+        trim(0)
+
+
 def batches(texts: list[str | None]) -> Iterator[tuple[int, list[bytes]]]:
     """Runs of texts in lower case, as bytes, each with the place of its first."""
     out, size, first = [], 0, 0

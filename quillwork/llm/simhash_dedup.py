@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import checkpoint, connected_components, documents
-from .shingles import batches, mix, shingle_sets
+from .shingles import batches, mix, release, shingle_sets
 
 #: Minima of a node, each a shard that it goes to.
 KEYS = 8
@@ -96,6 +96,7 @@ def features(batch: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                     "keys": list(keys.view(np.int64)),
                 }
             )
+    release()
 
 
 def shingled(batch: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -106,6 +107,7 @@ def shingled(batch: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             digest, small = _digest(h, start), (h >> np.uint64(32)).astype(np.uint32).view(np.int32)
             sets = [small[a:b] for a, b in zip(start[:-1], start[1:])]
             yield pd.DataFrame({"d1": digest[:, 0], "d2": digest[:, 1], "shingles": sets})
+    release()
 
 
 class SmallWorld:

@@ -15,9 +15,10 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.functions import PandasUDFType
 
 from .common import checkpoint, documents, text_of
-from .shingles import batches, mix, shingle_sets, word_hashes
+from .shingles import batches, mix, release, shingle_sets, word_hashes
 
 #: Labelled documents of each class that the seeds and the calibration are learned from, at most.
 SAMPLE = 10_000
@@ -161,6 +162,7 @@ def near_counts(words: np.ndarray):
         if len(rows):
             other = [np.flatnonzero(total[i]) for i in rows]
             yield pd.DataFrame({"i": rows, "j": other, "n": [total[i, j] for i, j in zip(rows, other)]})
+        release()
 
     return count
 
@@ -258,7 +260,13 @@ def _features(lexicon: Lexicon):
 
 def score(text: Column, lexicon: Lexicon) -> Column:
     """Score of a text, 0 to 1; a null or empty text has no polar words and the lowest score."""
-    return F.pandas_udf(lambda s: pd.Series(np.round(lexicon.score(list(s)), 6)), "double")(text)
+
+    def go(batch: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for s in batch:
+            yield pd.Series(np.round(lexicon.score(list(s)), 6))
+        release()
+
+    return F.pandas_udf(go, "double", PandasUDFType.SCALAR_ITER)(text)
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
