@@ -39,18 +39,21 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     counts = d.groupBy("_qw_h").agg(F.count("*").alias("_qw_c")).where(F.col("_qw_c") > limit)
     heavy = checkpoint(counts)
     split = not heavy.isEmpty()
-    salt = F.lit(0)
+    # a constant would be folded away in the window but not in the ranges, which would then not do for it
+    place = ["_qw_pre", "_qw_h"]
     if split:
         d = d.join(F.broadcast(heavy), "_qw_h", "left")  # HOT_TEXTS rows at most
         parts = F.coalesce(F.ceil(F.col("_qw_c") / limit), F.lit(1))
         salt = F.when(F.col("_qw_c").isNull(), 0).otherwise(F.pmod(F.xxhash64(F.lit(7), id_col), parts))
-    d = d.withColumn("_qw_salt", salt.cast("int")).withColumn("_qw_pre", F.substring("_qw_norm", 1, PREFIX))
+        d = d.withColumn("_qw_salt", salt.cast("int"))
+        place.append("_qw_salt")
+    d = d.withColumn("_qw_pre", F.substring("_qw_norm", 1, PREFIX))
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = d.repartitionByRange(n, "_qw_pre", "_qw_h", "_qw_salt")
-    run = Window.partitionBy("_qw_pre", "_qw_h", "_qw_salt", "_qw_norm")
+    ranged = d.repartitionByRange(n, *place)
+    run = Window.partitionBy(*place, "_qw_norm")
     first = run.orderBy(F.col(id_col).asc_nulls_last())
     out = ranged.select(
-        *names, "_qw_h", "_qw_salt", *(["_qw_c"] if split else []),
+        *names, *place[1:],
         F.sha2("_qw_norm", 256).alias("text_sha256"),
         F.row_number().over(first).alias("_qw_rn"),
         F.min(id_col).over(run).alias("_qw_min"),
