@@ -1 +1 @@
-
+"""Nothing of the study is a stream; a stream that must be read goes through Spark's own readers."""
