@@ -15,7 +15,6 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.functions import PandasUDFType
 
 from .common import checkpoint, documents, text_of
 from .shingles import batches, mix, release, shingle_sets, word_hashes
@@ -266,7 +265,7 @@ def score(text: Column, lexicon: Lexicon) -> Column:
             yield pd.Series(np.round(lexicon.score(list(s)), 6))
         release()
 
-    return F.pandas_udf(go, "double", PandasUDFType.SCALAR_ITER)(text)
+    return F.pandas_udf(go, "double")(text)
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
