@@ -4,11 +4,10 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-QUERIES = (
-    "Summarize the main contribution of this paper",
-    "Summarize the proposed method and main findings of this paper",
-    "What problem does this paper address and how does it solve it?",
-)
+_CONTRIBUTION = "Summarize the main contribution of this paper"
+_FINDINGS = "Summarize the proposed method and main findings of this paper"
+_PROBLEM = "What problem does this paper address and how does it solve it?"
+QUERIES = (_CONTRIBUTION, _FINDINGS, _PROBLEM)
 K_VALUES = (1, 3, 5, 10)
 SEED = 42
 

@@ -15,11 +15,13 @@ SECTION_NAMES = sorted(
     + "introduction limitations method methodology methods references results".split()
     + ["future work", "literature review", "related work"]
 )
-TOKEN = r"[A-Za-z0-9]+(?:[-'][A-Za-z0-9]+)?"
-ENTITY = r"[A-Z][A-Za-z0-9\-]+(?:(?U:\s)+[A-Z][A-Za-z0-9\-]+){0,5}"
-NUMBER = r"(?U)(?<!\w)(?:\d+(?:\.\d+)?%?)(?!\w)"
+_RUN = "[0-9A-Za-z]+"
+_NAME = "[A-Z][-0-9A-Za-z]+"
+TOKEN = f"{_RUN}(?:['-]{_RUN})?"
+ENTITY = rf"{_NAME}(?:(?U:\s)+{_NAME}){{0,5}}"
+NUMBER = r"(?U)(?<![\w])\p{Nd}+(?:[.]\p{Nd}+)?%?(?![\w])"
 ENTITY_STOP = ["a", "an", "for", "in", "the", "this", "we"]
-_HEADING = r"^(?:\d+(?:\.\d+){0,3}|[IVXLCDM]+)[.):]?(?U:\s)+([A-Za-z].+)$"
+_HEADING = r"^(?:\d+(?:\.\d+){0,3}|[IVXLCDM]+)[):.]?(?U:\s)+([a-zA-Z].+)$"
 NBSP = "\u00a0"
 
 
@@ -102,13 +104,13 @@ def clean_heading(line: Column) -> Column:
 
 def split_sentences(c: Column) -> Column:
     """Sentences end in ``.!?`` before white space and a capital, a digit or an opening bracket."""
-    parts = F.split(normalize_space(c), r"(?U)(?<=[.!?])\s+(?=[A-Z0-9(\[])")
+    parts = F.split(normalize_space(c), r"(?U)(?<=[!.?])\s+(?=[(\[0-9A-Z])")
     return F.filter(parts, lambda s: s != "")
 
 
 def plain_sentences(c: Column) -> Column:
     """Sentences end in ``.!?`` before any white space."""
-    parts = F.transform(F.split(text_of(c), r"(?U)(?<=[.!?])\s+"), lambda s: F.regexp_replace(s, r"(?U)^\s+|\s+$", ""))
+    parts = F.transform(F.split(text_of(c), r"(?U)(?<=[!.?])\s+"), lambda s: F.regexp_replace(s, r"(?U)^\s+|\s+$", ""))
     return F.filter(parts, lambda s: s != "")
 
 
@@ -180,9 +182,9 @@ def normalize_paper_id(c: Column) -> Column:
 
 
 CONDITIONS = {
-    "test_clean": "clean", "test_noisy_easy": "easy_additive", "test_noisy_easy_additive": "easy_additive",
+    "test_noisy_easy": "easy_additive", "test_noisy_easy_additive": "easy_additive",
     "test_noisy_easy_substitutive": "easy_substitutive", "test_noisy_hard": "hard_additive",
-    "test_noisy_hard_additive": "hard_additive", "test_noisy_hard_substitutive": "hard_substitutive",
+    "test_noisy_hard_additive": "hard_additive", "test_noisy_hard_substitutive": "hard_substitutive", "test_clean": "clean",
 }
 
 

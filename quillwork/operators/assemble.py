@@ -170,7 +170,7 @@ LIST_COLUMNS = (
     "noise_chunk_ids noise_source_doc_ids retrieved_chunk_ids retrieved_source_doc_ids retrieved_scores retrieved_hit_flags "
     "relevant_chunk_ids context_chunk_ids context_source_doc_ids context_hit_flags"
 ).split()
-DEFAULTS = {"noise_mode": "clean", "noise_source": "none", "num_noise_chunks": 0}
+DEFAULTS = {"num_noise_chunks": 0, "noise_source": "none", "noise_mode": "clean"}
 _ELEMENT = {"retrieved_scores": "double", "retrieved_hit_flags": "int", "context_hit_flags": "int"}
 
 

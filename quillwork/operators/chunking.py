@@ -71,12 +71,13 @@ def sections(docs: DataFrame, key: str, text: Column) -> DataFrame:
 
 # The section-aware chunker, for one text.  ``sections`` above and ``section_list`` here follow the same rules.
 
-_HEADING = re.compile(r"(?:\d+(?:\.\d+){0,3}|[IVXLCDM]+)[.):]?\s+([A-Za-z].+)$")
-_SENTENCE = re.compile(r"(?<=[.!?])\s+(?=[A-Z0-9(\[])")
+_HEADING = re.compile(r"(?:\d+(?:\.\d+){0,3}|[IVXLCDM]+)[):.]?\s+([a-zA-Z].+)$")
+_SENTENCE = re.compile(r"(?<=[!.?])\s+(?=[(\[0-9A-Z])")
 
 
 def flat(text: str | None) -> str:
-    return " ".join((text or "").replace(T.NBSP, " ").replace("\\n", "\n").replace("/n", "\n").split())
+    # str.split() takes the no-break space for white space too
+    return " ".join(re.sub(r"\\n|/n", " ", text or "").split())
 
 
 def is_heading(line: str) -> bool:

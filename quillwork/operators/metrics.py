@@ -11,9 +11,8 @@ from ..functions import text as T
 
 LOWER_IS_BETTER = ("absolute_degradation", "relative_degradation", "repetition_2gram_rate", "unsupported_entity_rate", "unsupported_number_rate")
 CORE = (
-    [f"rouge{x}" for x in ("1", "2", "L", "Lsum")] + ["bertscore_f1", "entity_f1_ref", "source_supported_entity_rate", "unsupported_entity_rate"]
-    + ["number_f1_ref", "unsupported_number_rate", "source_token_support_rate", "sentence_support_proxy"]
-    + ["distinct_1", "distinct_2", "repetition_2gram_rate", "novel_2gram_ratio"]
+    [f"rouge{x}" for x in ("1", "2", "L", "Lsum")] + "bertscore_f1 entity_f1_ref source_supported_entity_rate unsupported_entity_rate number_f1_ref unsupported_number_rate".split()
+    + "source_token_support_rate sentence_support_proxy distinct_1 distinct_2 repetition_2gram_rate novel_2gram_ratio".split()
 )
 
 

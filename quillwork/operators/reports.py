@@ -12,7 +12,7 @@ from ..functions.text import safe_div
 from . import metrics as M
 from . import stats as S
 
-GROUP = ["architecture", "train_setting", "model_key", "condition", "test_file"]
+GROUP = "architecture train_setting model_key condition test_file".split()
 LENGTHS = [f"{s}_{u}" for s in ("source", "target", "prediction") for u in ("words", "tokens", "tokens_model_tokenizer")]
 RISKS = [f"{s}_truncated_risk{k}" for s in ("source", "target") for k in ("", "_model_tokenizer")]
 COMPACT = [m for m in M.CORE if m != "rougeLsum"]
@@ -34,7 +34,7 @@ def melt(rows: DataFrame, keys: list[str], metrics: list[str]) -> DataFrame:
 
 def retrieval_columns(rows: DataFrame) -> list[str]:
     """The evaluator's retrieval measures among the columns, by name."""
-    names = ("hit@", "precision@", "recall@", "ndcg@")
+    names = [f"{m}@" for m in ("precision", "recall", "hit", "ndcg")]
     return sorted(c for c in rows.columns if c.startswith(("context_", "retrieval_")) and (c.endswith("_mrr") or any(f"_{n}" in c for n in names)))
 
 

@@ -24,7 +24,7 @@ NAMES = [f.split()[0] for f in RESULT.split(", ")]
 FLAT = 1e-12
 
 
-# --- in SQL ---------------------------------------------------------------------------------------------------
+# in SQL
 
 
 def cohen_dz(diff: Column) -> Column:
@@ -78,7 +78,7 @@ def holm(rows: DataFrame, p: str, out: str, by: list[str] = ()) -> DataFrame:
     return rows.withColumn(out, F.when(F.col(p).isNotNull(), F.least(F.lit(1.0), F.max("_step").over(order)))).drop("_step")
 
 
-# --- in numpy -------------------------------------------------------------------------------------------------
+# in numpy
 
 
 def bootstrap_ci(v: np.ndarray, n: int = EVALUATION.test_resamples, seed: int = SEED) -> tuple[float, float]:
@@ -92,8 +92,7 @@ def bootstrap_ci(v: np.ndarray, n: int = EVALUATION.test_resamples, seed: int =
     rng = np.random.default_rng(seed)
     step = max(1, 2_000_000 // len(v))
     means = np.concatenate([v[rng.integers(0, len(v), (min(step, n - k), len(v)))].mean(1) for k in range(0, n, step)])
-    low, high = np.percentile(means, [2.5, 97.5])
-    return float(low), float(high)
+    return tuple(np.quantile(means, (0.025, 0.975)).tolist())
 
 
 def _beta_fraction(a: float, b: float, x: float) -> float:
@@ -230,7 +229,7 @@ def normality(v: np.ndarray) -> tuple[float, float, str]:
     return (*shapiro(v), "shapiro") if len(v) <= 5000 else (*dagostino(v), "dagostino_k2")
 
 
-def delta(x: np.ndarray, y: np.ndarray) -> float:
+def delta(x, y):
     """Cliff's delta; missing values are dropped on either side alone."""
     x, y = x[~np.isnan(x)], np.sort(y[~np.isnan(y)])
     if not len(x) or not len(y):

@@ -35,7 +35,7 @@ def ngrams(t: str, n: int) -> str:
 
 
 def entities(x: str) -> str:
-    found = rf"regexp_extract_all({x}, '[A-Z][A-Za-z0-9\-]+(?:\s+[A-Z][A-Za-z0-9\-]+){{0,5}}')"
+    found = rf"regexp_extract_all({x}, '[A-Z][-0-9A-Za-z]+(?:\s+[A-Z][-0-9A-Za-z]+){{0,5}}')"
     flat = rf"list_transform({found}, lambda e: lower(regexp_replace(e, '\s+', ' ', 'g')))"
     return f"list_sort(list_distinct(list_filter({flat}, lambda e: len(e) >= 2 AND e NOT IN ({', '.join(map(lit, ENTITY_STOP))}))))"
 
@@ -71,7 +71,7 @@ def query(paper: str) -> str:
 def heading(x: str) -> str:
     """Of a line that ``space`` has been over."""
     n = count_words(x)
-    pattern = lit(r"^(?:\d+(?:\.\d+){0,3}|[IVXLCDM]+)[.):]?\s+([A-Za-z].+)$")
+    pattern = lit(r"^(?:\d+(?:\.\d+){0,3}|[IVXLCDM]+)[):.]?\s+([a-zA-Z].+)$")
     lettered = rf"list_filter({words(x)}, lambda v: regexp_matches(v, '\p{{L}}'))"
     capital = rf"len(list_filter({lettered}, lambda v: regexp_matches(v, '^\p{{Lu}}')))"
     upper = rf"(upper({x}) = {x} AND regexp_matches({x}, '\p{{Lu}}'))"

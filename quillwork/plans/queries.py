@@ -48,7 +48,7 @@ def _r(c, n: int = 6):
     return F.round(c, n)
 
 
-# --- scans, filters, limits ---------------------------------------------------------------------------------------
+# scans, filters, limits
 
 
 @query(f"SELECT lang, count(*) AS n_docs, sum(n) AS n_words, round(avg(n), 6) AS mean_words, max(n) AS max_words FROM (SELECT lang, {O.count_words('text')} AS n FROM documents) GROUP BY lang")
@@ -115,7 +115,7 @@ def noise_design_marks(spark, d):
     return A.marked(rows, "additive").unionByName(A.marked(rows, "substitutive")).groupBy("lang", "source", "noise_design", "noise_mode").agg(F.count("*").alias("n"))
 
 
-# --- text ---------------------------------------------------------------------------------------------------------
+# text
 
 
 @query(f"SELECT doc_id, len({O.tokens('text')}) AS n_tokens, len(list_distinct({O.tokens('text')})) AS n_distinct FROM documents")
@@ -208,7 +208,7 @@ def condition_dim(spark, d):
     return rows.groupBy("file", T.condition_from_filename(F.col("file")).alias("condition")).agg(F.count("*").alias("n"))
 
 
-# --- chunks -------------------------------------------------------------------------------------------------------
+# chunks
 
 _CHUNKS = f"""(SELECT doc_id, lang, pos, w[120 * pos + 1:120 * pos + 150] AS c FROM (SELECT *, unnest(range(0, greatest(ceil((len(w) - 150) / 120.0)::INT, 0) + 1)) AS pos
 FROM (SELECT doc_id, lang, {O.words(O.space("text"))} AS w FROM documents)) WHERE len(w) > 0 AND (pos = 0 OR len(w) - 120 * pos >= 40))"""
@@ -251,7 +251,7 @@ def chunk_statistics(spark, d):
     return C.chunk_statistics(C.chunk_documents(docs, "doc_id", "text"), docs, "doc_id")
 
 
-# --- vectors and distractors --------------------------------------------------------------------------------------
+# vectors and distractors
 
 _QUERY = "(SELECT label AS query_id, min(vec_id) AS vec_id FROM embeddings GROUP BY label)"
 _SCORES = f"""(SELECT q.label AS query_id, e.vec_id AS doc_id, e.label, e.embedding, round({O.dot("q.embedding", "e.embedding")}, 6) AS score
@@ -431,7 +431,7 @@ def build_examples(spark, d):
     return B.build(docs.where("doc_id % 2 = 0").drop("doc_id"), docs.where("doc_id % 2 = 1").drop("doc_id"), "test")
 
 
-# --- records ------------------------------------------------------------------------------------------------------
+# records
 
 _REC = f"(SELECT doc_id, lang, text AS input_text, {O.first_words('text', 60)} AS target_text, array_to_string({O.words(O.space('text'))}[21:90], ' ') AS prediction_text FROM documents)"
 
@@ -557,7 +557,7 @@ def noise_chunk_ratio(spark, d):
     return M.retrieval_block(rows).groupBy(_r(F.col("noise_chunk_ratio")).alias("noise_chunk_ratio")).agg(F.count("*").alias("n"))
 
 
-# --- control rows, schema, order ----------------------------------------------------------------------------------
+# control rows, schema, order
 
 
 @query("SELECT doc_id, unnest(range(0, 3)) AS copy, 3 AS copies FROM documents")
@@ -594,7 +594,7 @@ def context_budget(spark, d):
     return _docs(spark, d).select("doc_id", F.size(fitted).alias("n"), F.size(T.words(F.array_join(fitted, " "))).alias("words"))
 
 
-# --- reports ------------------------------------------------------------------------------------------------------
+# reports
 
 _MODELS = [("bart_clean", "bart", "clean_matched"), ("bart_noise", "bart", "noiseaware"), ("t5_clean", "t5", "clean_matched"), ("t5_noise", "t5", "noiseaware")]
 _CONDITIONS = ["clean", "easy_additive", "hard_additive", "easy_substitutive", "hard_substitutive"]
