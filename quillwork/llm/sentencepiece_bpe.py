@@ -13,6 +13,7 @@ from __future__ import annotations
 import heapq
 import os
 import re
+import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -199,7 +200,7 @@ def together(p: Pieces, words: list[str], keys: list[int], dropout: float) -> li
 
 
 class Encoder:
-    """Encodes texts; remembers the segmentations of words."""
+    """Encodes texts; remembers the segmentations of words.  Those of words and of texts are checked to decode."""
 
     def __init__(self, path: str = MODEL, seed: int = SEED, dropout: float = DROPOUT):
         self.p, self.seed, self.dropout = pieces(path), seed, dropout
@@ -222,9 +223,15 @@ class Encoder:
                 found = together(self.p, part, keys, self.dropout)
             else:
                 found = [np.array(agenda(self.p, w, key, self.dropout), np.int32).tobytes() for w, key in zip(part, keys)]
+            if self.p.join(b"".join(found)) != "".join(part).encode():
+                raise AssertionError("a segmentation does not decode to its word")
             known.update(zip(part, found))
 
     def encode(self, texts: list[str | None], variants: list[int]) -> list[np.ndarray | None]:
+        return [x for x, _ in self.both_ways(texts, variants)]
+
+    def both_ways(self, texts: list[str | None], variants: list[int]) -> list[tuple[np.ndarray | None, int | None]]:
+        """The ids of each text, and the CRC-32 of what they decode to, which is the text."""
         split = [[] if not t else self.p.word.findall(" " + t) for t in texts]
         wanted: dict[int, set[str]] = {}
         for v, words in zip(variants, split):
@@ -235,7 +242,14 @@ class Encoder:
         for t, v, words in zip(texts, variants, split):
             if t and "".join(words) != " " + t:
                 raise AssertionError("the words of a text do not make it up")
-            out.append(None if t is None else np.frombuffer(b"".join(map(self.known[v].__getitem__, words)), np.int32))
+            if t is None:
+                out.append((None, None))
+                continue
+            ids = b"".join(map(self.known[v].__getitem__, words))
+            text = self.p.join(ids)[1:]
+            if text != t.encode():
+                raise AssertionError("the ids of a text do not decode to it")
+            out.append((np.frombuffer(ids, np.int32), zlib.crc32(text)))
         return out
 
 
@@ -253,9 +267,13 @@ def encoded(path: str, seed: int, dropout: float):
             begin = size = 0
             for i in range(len(texts) + 1):
                 if i == len(texts) or size > AT_ONCE:
-                    ids = encoder.encode(texts[begin:i], variants[begin:i])
+                    done = encoder.both_ways(texts[begin:i], variants[begin:i])
+                    ids = [x for x, _ in done]
                     count = [None if x is None else len(x) for x in ids]
-                    yield pd.DataFrame({"doc_id": pdf["doc_id"].iloc[begin:i].to_numpy(), "n_pieces": pd.array(count, "Int64"), "ids": ids})
+                    yield pd.DataFrame({
+                        "doc_id": pdf["doc_id"].iloc[begin:i].to_numpy(), "n_pieces": pd.array(count, "Int64"), "ids": ids,
+                        "decoded_crc32": pd.array([x for _, x in done], "Int64"),
+                    })
                     begin, size = i, 0
                 if i < len(texts):
                     size += len(texts[i] or "")
@@ -264,8 +282,9 @@ def encoded(path: str, seed: int, dropout: float):
     return go
 
 
-def encode(docs: DataFrame, path: str = MODEL, seed: int = SEED, dropout: float = DROPOUT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(doc_id, n_pieces, ids)`` of every row; the ids decode to the text again.
+def both_ways(docs: DataFrame, path: str = MODEL, seed: int = SEED, dropout: float = DROPOUT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``(doc_id, n_pieces, ids, decoded_crc32)`` of every row; the ids are decoded, checked to give the text again, and the
+    CRC-32 of what they gave is kept.
 
     The id chooses the variant, so reruns agree.  A null text has null ids, an empty one none.  A text's own
     U+2581 becomes three byte pieces and so survives.  Other columns are not read.
@@ -275,7 +294,12 @@ def encode(docs: DataFrame, path: str = MODEL, seed: int = SEED, dropout: float
         F.pmod(F.xxhash64(F.lit(seed), F.col(id_col)), F.lit(VARIANTS)).cast("int").alias("variant"),
     )
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInPandas(encoded(path, seed, dropout), f"doc_id {kind}, n_pieces long, ids array<int>")
+    return rows.mapInPandas(encoded(path, seed, dropout), f"doc_id {kind}, n_pieces long, ids array<int>, decoded_crc32 long")
+
+
+def encode(docs: DataFrame, path: str = MODEL, seed: int = SEED, dropout: float = DROPOUT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``(doc_id, n_pieces, ids)`` of ``both_ways``, with its checks."""
+    return both_ways(docs, path, seed, dropout, id_col, text_col).drop("decoded_crc32")
 
 
 def decode(encoded_rows: DataFrame, path: str = MODEL) -> DataFrame:
@@ -291,4 +315,4 @@ def decode(encoded_rows: DataFrame, path: str = MODEL) -> DataFrame:
 
 
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return encode(documents(spark, sf_dir))
+    return both_ways(documents(spark, sf_dir))

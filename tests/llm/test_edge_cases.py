@@ -116,6 +116,20 @@ def test_lm_score(docs, none):
     assert lm_score.score(none, *lm_score.fit(none)).count() == 0
 
 
+def test_sentencepiece_decodes_in_the_query(docs, monkeypatch):
+    got = {r.doc_id: r.decoded_crc32 for r in sentencepiece_bpe.both_ways(docs).collect()}
+    assert got == {i: None if t is None else zlib.crc32(t.encode()) for i, t, *_ in ROWS}
+    e = sentencepiece_bpe.Encoder()
+    e.encode(["some words"], [0])
+    e.known[0][" words"] = e.known[0][" some"]
+    with pytest.raises(AssertionError, match="ids of a text"):
+        e.encode(["some words"], [0])
+    good = sentencepiece_bpe.together
+    monkeypatch.setattr(sentencepiece_bpe, "together", lambda *x: [good(*x)[0][:0], *good(*x)[1:]])
+    with pytest.raises(AssertionError, match="segmentation"):
+        sentencepiece_bpe.Encoder().encode(["some words"], [0])
+
+
 def test_toxicity(spark, docs, none):
     labels = spark.createDataFrame([(1, 0), (1, 1), (None, 1), (5, None), (6, 0)], "doc_id long, toxic int")
     assert toxicity.without_toxic(docs, labels).count() == len(ROWS)
