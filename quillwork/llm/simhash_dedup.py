@@ -3,12 +3,12 @@
 1. Every text gives its set of five-word shingles, of those a SimHash of 128 bits and ``KEYS`` minima; texts with
    equal sets are one node from here on.
 2. Nodes go to the shards of their minima, so that near copies meet in at least one of them all but
-   surely (0.2 ** KEYS for a similarity of 0.8).  A minimum that very many nodes share is refined by
-   further ones, so no shard grows with the corpus.
+   surely (0.2 ** KEYS for a similarity of 0.8).  A minimum that very many nodes share is cut in
+   blocks that are compared two by two, so no shard grows with the corpus and no pair is left out.
 3. In a shard every node searches: a small group by comparing all, a large one through a navigable small-world graph over the
    Hamming distance, whose beams are widened till a sample of the queries finds what exact search finds.
 4. The nearest of what was found is verified by the Jaccard similarity of the whole sets; verified edges are unioned.
-5. A second, exact pass over the shards gives the pairs that lie in different components so far; they are verified and
+5. A second, exact pass over the shards, for blocks over each two of them, gives the pairs that lie in different components so far; they are verified and
    unioned too.  So a group of thousands of copies costs a few edges each, and no link between groups is lost.
 """
 
@@ -31,7 +31,7 @@ BITS = 34
 SIMILARITY = 0.8
 #: Edges that a node proposes in the first pass; the second is exact for what they leave open.
 NEAREST = 4
-#: Nodes of a key at most; beyond them the key is refined.
+#: Nodes of a key, about, at most; beyond them its blocks are compared two by two.
 GROUP = 2048
 #: Groups up to this size are searched by comparing all.
 EXACT = 128
@@ -288,30 +288,24 @@ def _sets(docs: DataFrame, nodes: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def _placed(nodes: DataFrame, group: int = GROUP) -> DataFrame:
-    """``(key, node, hi, lo)``: each node under each of its minima, shared minima refined till a key has at most ``group``
-    nodes or all minima are used; what is left then is split, each part with the same first node."""
-    rows = nodes.where("d1 <> 0 or d2 <> 0").select("node", "hi", "lo", "keys", F.posexplode("keys").alias("r", "key"))
-    rows = rows.withColumn("key", F.xxhash64("r", "key"))
-    done = None
-    for level in range(1, KEYS + 1):
-        counts = checkpoint(rows.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct("node", "hi", "lo")).alias("first")).where(F.col("n") > group))
-        if counts.isEmpty():
-            break
-        if level == KEYS:
-            rows = rows.join(counts, "key", "left")
-            part = F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / group))
-            heads = counts.select(
-                "first.*", F.explode(F.sequence(F.expr("0L"), F.ceil(F.col("n") / group) - 1)).alias("p"), "key"
-            ).select(F.xxhash64("key", "p").alias("key"), "node", "hi", "lo")
-            out = rows.select(F.when(F.col("n").isNull(), F.col("key")).otherwise(F.xxhash64("key", part)).alias("key"), "node", "hi", "lo")
-            out = out.unionByName(heads).dropDuplicates(["key", "node"])
-            return out if done is None else done.unionByName(out)
-        light = rows.join(counts.select("key"), "key", "left_anti").select("key", "node", "hi", "lo")
-        done = light if done is None else done.unionByName(light)
-        next_ = F.element_at("keys", (F.pmod(F.col("r") + level, F.lit(KEYS)) + 1).cast("int"))
-        rows = checkpoint(rows.join(counts.select("key"), "key", "left_semi").withColumn("key", F.xxhash64("key", next_)))
-    out = rows.select("key", "node", "hi", "lo")
-    return out if done is None else done.unionByName(out)
+    """``(key, node, hi, lo, ring)``: each node under each of its minima.
+
+    A minimum of more than ``group`` nodes is cut in blocks of about half of that, and each two of its blocks are a key of their
+    own, so all its pairs meet.  ``ring`` marks the keys of a block and the next one; all other minima have it too.
+    """
+    rows = nodes.where("d1 <> 0 or d2 <> 0").select("node", "hi", "lo", F.posexplode("keys").alias("r", "key"))
+    rows = rows.withColumn("key", F.xxhash64("r", "key")).drop("r")
+    counts = rows.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > group)
+    counts = checkpoint(counts.select("key", F.ceil(2 * F.col("n") / group).alias("blocks")))
+    if counts.isEmpty():
+        return rows.withColumn("ring", F.lit(True))
+    # a hot key has more than group nodes, so there are few; the rows stay where they are
+    rows = rows.join(F.broadcast(counts), "key", "left").withColumn("b", F.pmod(F.xxhash64(F.lit(5), "node"), F.col("blocks")))
+    light = rows.where("blocks is null").select("key", "node", "hi", "lo", F.lit(True).alias("ring"))
+    hot = rows.where("blocks is not null").withColumn("c", F.explode(F.sequence(F.expr("0L"), F.col("blocks") - 1))).where("b <> c")
+    ring = (F.pmod(F.col("c") - F.col("b"), F.col("blocks")) == 1) | (F.pmod(F.col("b") - F.col("c"), F.col("blocks")) == 1)
+    hot = hot.select(F.xxhash64("key", F.least("b", "c"), F.greatest("b", "c")).alias("key"), "node", "hi", "lo", ring.alias("ring"))
+    return light.unionByName(hot)
 
 
 def _classes(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
@@ -326,7 +320,7 @@ def _classes(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, Da
     placed = placed.withColumn("shard", F.pmod(F.xxhash64(F.lit(3), "key"), F.lit(shards)))
     links = sets = None
     for second in (False, True):
-        rows = placed.withColumn("part", F.expr("0L")) if not second else (
+        rows = placed.where("ring").withColumn("part", F.expr("0L")) if not second else (
             placed.join(connected_components(links, "a", "b").withColumnRenamed("component", "part"), "node", "left")
             .withColumn("part", F.coalesce("part", "node"))
         )

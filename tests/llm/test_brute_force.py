@@ -70,6 +70,23 @@ def test_near_classes(spark, group, monkeypatch):
     assert got == classes(texts)
 
 
+def test_near_copies_in_a_hot_passage(spark, monkeypatch):
+    """Pairs of near copies with a passage, 0.7 of their shingles, that far more nodes share than a key may have."""
+    monkeypatch.setattr(simhash_dedup._placed, "__defaults__", (16,))
+    rng = random.Random(11)
+    words = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
+    passage, texts = words(80), {}
+    for i in range(0, 120, 2):
+        tail = words(29)
+        texts[i], texts[i + 1] = " ".join(passage + tail), " ".join(passage + tail[:-10] + words(10))
+    for i in range(120, 400):
+        texts[i] = " ".join(passage + words(29))
+    want = classes(texts)
+    assert all(want[i + 1] == i for i in range(0, 120, 2)) and len(set(want.values())) == 340
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert {r.doc_id: r.class_id for r in simhash_dedup.near_classes(df).collect()} == want
+
+
 def test_near_classes_of_documents(spark):
     texts = dict(duckdb.sql(f"select doc_id, text from '{SMALL}/documents.parquet'").fetchall())
     got = {r.doc_id: r.class_id for r in registry.QUERIES["op1_simhash_near_dedup"](spark, SMALL).collect()}
