@@ -69,21 +69,26 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return mix(h ^ size.astype(np.uint64)), count
 
 
-def shingle_sets(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct shingles of each text, ascending, one text after the other; and where each text begins.
-
-    A text of fewer than five words has one shingle of all its words; one without words has none.
-    """
-    words, count = word_hashes(texts)
+def shingle_hashes(words: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Every shingle of each text in the text's order, repeated ones too, and how many each text has."""
     many = np.where(count > 0, np.maximum(count - WORDS + 1, 1), 0)
-    doc = np.repeat(np.arange(len(texts)), many)
+    doc = np.repeat(np.arange(len(count)), many)
     last = np.cumsum(count)
     at = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + np.repeat(last - count, many)
     h = np.zeros(len(at), np.uint64)
     padded = np.concatenate((words, np.zeros(WORDS, np.uint64)))
     for j in range(WORDS):
         h += np.where(at + j < last[doc], padded[at + j], np.uint64(0)) * _PLACE[j]
-    h = mix(h)
+    return mix(h), many
+
+
+def shingle_sets(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct shingles of each text, ascending, one text after the other; and where each text begins.
+
+    A text of fewer than five words has one shingle of all its words; one without words has none.
+    """
+    h, many = shingle_hashes(*word_hashes(texts))
+    doc = np.repeat(np.arange(len(texts)), many)
     order = np.lexsort((h, doc))
     h, doc = h[order], doc[order]
     new = np.ones(len(h), bool)
