@@ -37,6 +37,8 @@ CLEAR = 4.2
 SURE, MET = 5.0, 3
 #: Nodes after a node, and their distance in words, that count as near.
 NEAR, REACH = 8, 40
+#: Nodes in documents that are worked on together.
+TERMS = 50_000
 #: Strongest links of a node.
 LINKS = 32
 #: Chance that a walk goes on, its steps, and the units of its fixed point.
@@ -242,25 +244,30 @@ def near_pairs(batch: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Documents where two nodes, ``i < j``, stand near each other."""
     for pdf in batch:
         many = pdf["term"].map(len).to_numpy()
-        if not many.sum():
-            continue
-        term, place = np.concatenate(pdf["term"].to_numpy()).astype(np.int64), np.concatenate(pdf["place"].to_numpy())
-        doc = np.repeat(np.arange(len(pdf)), many)
-        found = []
-        for s in range(1, NEAR + 1):
-            a, b = term[:-s], term[s:]
-            ok = (doc[:-s] == doc[s:]) & (place[s:] - place[:-s] <= REACH) & (a != b)
-            found.append(np.stack((np.minimum(a, b)[ok], np.maximum(a, b)[ok], doc[:-s][ok])))
-        i, j, d = np.concatenate(found, 1)
-        o = np.lexsort((d, j, i))
-        i, j, d = i[o], j[o], d[o]
-        new = np.ones(len(i), bool)
-        new[1:] = (i[1:] != i[:-1]) | (j[1:] != j[:-1]) | (d[1:] != d[:-1])
-        i, j = i[new], j[new]
-        first = np.ones(len(i), bool)
-        first[1:] = (i[1:] != i[:-1]) | (j[1:] != j[:-1])
-        at = np.flatnonzero(first)
-        yield pd.DataFrame({"i": i[at], "j": j[at], "n": np.diff(np.append(at, len(i)))})
+        # documents that are worked on together, so that what a batch needs is bounded
+        part = np.cumsum(many) // TERMS
+        edge = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1], [True]))) if len(part) else []
+        for x, y in zip(edge[:-1], edge[1:]):
+            if many[x:y].sum() < 2:
+                continue
+            term, place = (np.concatenate(pdf[c].to_numpy()[x:y]) for c in ("term", "place"))
+            doc = np.repeat(np.arange(y - x), many[x:y])
+            found = []
+            for s in range(1, NEAR + 1):
+                a, b = term[:-s].astype(np.int64), term[s:].astype(np.int64)
+                ok = (doc[:-s] == doc[s:]) & (place[s:] - place[:-s] <= REACH) & (a != b)
+                found.append(np.stack((np.minimum(a, b)[ok], np.maximum(a, b)[ok], doc[:-s][ok])))
+            i, j, d = np.concatenate(found, 1)
+            o = np.lexsort((d, j, i))
+            i, j, d = i[o], j[o], d[o]
+            new = np.ones(len(i), bool)
+            new[1:] = (i[1:] != i[:-1]) | (j[1:] != j[:-1]) | (d[1:] != d[:-1])
+            i, j = i[new], j[new]
+            first = np.ones(len(i), bool)
+            first[1:] = (i[1:] != i[:-1]) | (j[1:] != j[:-1])
+            at = np.flatnonzero(first)
+            yield pd.DataFrame({"i": i[at], "j": j[at], "n": np.diff(np.append(at, len(i)))})
+    release()
 
 
 def graph(pairs: DataFrame) -> DataFrame:
