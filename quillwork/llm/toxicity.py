@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import checkpoint, documents, text_of
+from .common import checkpoint, documents, stored, text_of
 from .shingles import batches, mix, release, shingle_hashes, word_hashes
 
 #: Labelled documents of each class that the seeds and the calibration are learned from, at most.
@@ -38,7 +38,7 @@ SURE, MET = 5.0, 3
 #: Nodes after a node, and their distance in words, that count as near.
 NEAR, REACH = 8, 40
 #: Nodes in documents that are worked on together.
-TERMS = 50_000
+TERMS = 150_000
 #: Strongest links of a node.
 LINKS = 32
 #: Chance that a walk goes on, its steps, and the units of its fixed point.
@@ -214,7 +214,9 @@ def candidates(docs: DataFrame, seeds: np.ndarray) -> DataFrame:
 
 
 def mentions(nodes: np.ndarray, kind: str):
-    """The nodes (hashes, ascending) of each document that has two: their places in order, with the text's digest and minima."""
+    """The nodes (hashes, ascending) of each document that has two, in order, each with its distance from the one before; with the text's
+    digest and minima.  A distance beyond REACH is as good as any other."""
+    small, name = (np.int16, "short") if len(nodes) < 1 << 15 else (np.int32, "int")
 
     def read(batch: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batch:
@@ -226,18 +228,20 @@ def mentions(nodes: np.ndarray, kind: str):
                 edge = np.searchsorted(doc, np.arange(len(part) + 1))
                 some = np.flatnonzero(np.diff(edge) > 1)
                 if len(some):
+                    gap, term = np.minimum(np.diff(place, prepend=place[0]), REACH + 1).astype(np.int8), at[place].astype(small)
                     m = _signed(minima(h, many))[some]
                     begin = np.cumsum(many) - many
-                    digest = [_signed(mix(np.add.reduce(mix(h[b : b + c] + np.arange(c, dtype=np.uint64)), keepdims=True)))[0] for b, c in zip(begin[some], many[some])]
+                    order = (np.arange(len(h)) - np.repeat(begin, many)).astype(np.uint64)
+                    digest = _signed(mix(np.add.reduceat(mix(h + order), begin[many > 0])))[np.searchsorted(np.flatnonzero(many), some)]
                     yield pd.DataFrame(
                         {
                             "doc_id": pdf["doc_id"].iloc[first + some].to_numpy(), "digest": digest, **{f"m{k}": m[:, k] for k in range(4)},
-                            "place": [place[edge[d] : edge[d + 1]] - begin[d] for d in some], "term": [at[place[edge[d] : edge[d + 1]]] for d in some],
+                            "gap": [gap[edge[d] : edge[d + 1]] for d in some], "term": [term[edge[d] : edge[d + 1]] for d in some],
                         }
                     )
         release()
 
-    return read, f"doc_id {kind}, digest long, {MINIMA}, place array<int>, term array<int>"
+    return read, f"doc_id {kind}, digest long, {MINIMA}, gap array<tinyint>, term array<{name}>"
 
 
 def near_pairs(batch: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -250,7 +254,8 @@ def near_pairs(batch: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x, y in zip(edge[:-1], edge[1:]):
             if many[x:y].sum() < 2:
                 continue
-            term, place = (np.concatenate(pdf[c].to_numpy()[x:y]) for c in ("term", "place"))
+            term, place = (np.concatenate(pdf[c].to_numpy()[x:y]) for c in ("term", "gap"))
+            place = np.cumsum(place, dtype=np.int64)
             doc = np.repeat(np.arange(y - x), many[x:y])
             found = []
             for s in range(1, NEAR + 1):
@@ -326,17 +331,19 @@ def polar_words(docs: DataFrame, says: DataFrame, n: int) -> pd.DataFrame:
     toxic = np.sort(says.where("says = 1").select("word").toPandas()["word"].to_numpy().view(np.uint64))  # words of the bounded sample
     if not len(toxic):
         return pd.DataFrame({"word": [], "says": [], "polarity": []})
-    more = candidates(docs, toxic).join(says.select("word", "says"), "word", "left").select("word", F.coalesce("says", F.lit(0)).alias("says"))
-    # words of a tenth of the sample or more link everything
-    neutral = says.where((F.col("says") == -1) & (F.col("all") <= max(20, n // 10))).orderBy(F.desc("all"), "word").limit(SEEDS).select("word", "says")
+    # neutral words of a tenth of the sample or more link everything
+    often = (F.col("says") == -1) & (F.col("all") > max(20, n // 10))
+    more = candidates(docs, toxic).join(says.select("word", "says", often.alias("often")), "word", "left").where("often is null or not often")
+    more = more.select("word", F.coalesce("says", F.lit(0)).alias("says"))
+    neutral = says.where((F.col("says") == -1) & ~often).orderBy(F.desc("all"), "word").limit(SEEDS).select("word", "says")
     nodes = says.where("says = 1").select("word", "says").unionByName(neutral).unionByName(more).distinct().toPandas()
     nodes["h"] = nodes["word"].to_numpy().view(np.uint64)
     nodes = nodes.sort_values("h", ignore_index=True)
     read, schema = mentions(nodes["h"].to_numpy(), docs.schema["doc_id"].dataType.simpleString())
     found = docs.select("doc_id", text_of("text").alias("text")).mapInPandas(read, schema)
-    found = checkpoint(found.withColumn("row", F.monotonically_increasing_id()))
+    found = stored(found.withColumn("row", F.monotonically_increasing_id()))
     rows = one_of_copies(found.select("doc_id", "digest", "row", "m0", "m1", "m2", "m3"), ["doc_id", "digest", "row"])
-    pairs = found.join(rows.select("row"), "row", "left_semi").select("place", "term").mapInPandas(near_pairs, "i long, j long, n long")
+    pairs = found.join(rows.select("row"), "row", "left_semi").select("gap", "term").mapInPandas(near_pairs, "i long, j long, n long")
     steps = graph(pairs.groupBy("i", "j").agg(F.sum("n").alias("n")))
     named = docs.sparkSession.createDataFrame(pd.DataFrame({"i": np.arange(len(nodes)), "says": nodes["says"].astype(int)}), "i long, says int")
     p = polarity(named, steps).toPandas()
