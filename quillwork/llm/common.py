@@ -120,3 +120,14 @@ def connected_components(edges: DataFrame, a: str = "src", b: str = "dst") -> Da
     return ends.join(now.select(F.col("u").alias("node"), F.col("v").alias("component")), "node", "left").select(
         "node", F.coalesce("component", "node").alias("component")
     )
+
+
+#: SQL: the 256 remainders of the CRC-32, and the checksum of a blob by them (``t``).
+CRC_TABLE_SQL = """(SELECT list(t ORDER BY i) AS t FROM (SELECT i, list_reduce(list_prepend(i, [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]),
+lambda c, x: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS t FROM range(256) u(i)))"""
+
+
+def crc_sql(blob: str) -> str:
+    """The CRC-32 of ``blob`` where ``t`` is at hand."""
+    octets = f"list_transform(regexp_extract_all(hex({blob}), '..'), lambda h: ('0x' || h)::BIGINT)"
+    return f"xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, {octets}), lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])))"

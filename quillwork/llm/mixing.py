@@ -113,4 +113,18 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
 
 
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All ``documents``; null, empty, long and repeated texts, and null sources, as ``mix`` says."""
     return mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
+
+
+OP4_SQL = f"""WITH d AS MATERIALIZED (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS size,
+  md5('{SEED}:' || coalesce(doc_id::VARCHAR, '-')) AS key FROM documents),
+w AS (SELECT *, (row_number() OVER (ORDER BY source COLLATE "binary" NULLS LAST) - 1) % 3 + 1 AS weight, {EPOCHS} * n AS most FROM (SELECT source, sum(size)::BIGINT AS n FROM d GROUP BY source)),
+-- in this order sources fill up one after the other, until one stays below its limit
+f AS (SELECT *, most / weight AS level, ((sum(n) OVER ()) - coalesce(sum(most) OVER before, 0))::DOUBLE / ((sum(weight) OVER ()) - coalesce(sum(weight) OVER before, 0))::DOUBLE AS unit
+  FROM w WINDOW before AS (ORDER BY most / weight, weight, source COLLATE "binary" NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+t AS (SELECT source, n, CASE WHEN unit * weight > most THEN most::DOUBLE ELSE (SELECT arg_min(unit, level) FROM f WHERE unit * weight <= most) * weight END AS target FROM f),
+r AS (SELECT d.doc_id, d.size, t.n AS source_size, t.target, floor(t.target + 0.5)::BIGINT AS budget,
+  coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.key, d.doc_id NULLS LAST, d.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
+SELECT doc_id, size, source_size, target, (CASE WHEN source_size > 0 THEN budget // source_size ELSE 0 END * size
+  + greatest(0, least(size, budget - CASE WHEN source_size > 0 THEN budget // source_size ELSE 0 END * source_size - start)))::BIGINT AS taken FROM r"""

@@ -7,11 +7,11 @@ import corpus_pipeline
 from .exact_dedup import OP6_SQL, op6_exact_dedup
 from .line_dedup import op9_line_dedup
 from .lm_score import op5_lm_score
-from .mixing import op4_mix_sources
+from .mixing import OP4_SQL, op4_mix_sources
 from .sentencepiece_bpe import op8_sentencepiece
-from .sharding import op3_feistel_shards
+from .sharding import OP3_SQL, op3_feistel_shards
 from .simhash_dedup import op1_simhash_near_dedup
-from .spotsigs import op7_spotsigs
+from .spotsigs import OP7_SQL, op7_spotsigs
 from .toxicity import op10_toxicity
 from .url_filter import OP2_SQL, op2_url_filter
 
@@ -28,6 +28,6 @@ QUERIES = {
     "op9_line_dedup": op9_line_dedup,
     "op10_toxicity": op10_toxicity,
 }
-SQL = {"op2_url_filter": OP2_SQL, "op6_exact_dedup": OP6_SQL}
+SQL = {"op2_url_filter": OP2_SQL, "op3_feistel_shards": OP3_SQL, "op4_mix_sources": OP4_SQL, "op6_exact_dedup": OP6_SQL, "op7_spotsigs": OP7_SQL}
 if corpus_pipeline.ORACLE_SQL:
     SQL["pipeline"] = corpus_pipeline.ORACLE_SQL

@@ -13,7 +13,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpoint, documents, row_numbers, text_of
+from .common import CRC_TABLE_SQL, checkpoint, crc_sql, documents, row_numbers, text_of
 
 ROUNDS = 4
 SEED = 42
@@ -96,6 +96,31 @@ def shard(docs: DataFrame, shards: int = SHARDS, seed: int = SEED, id_col: str =
 
 
 def op3_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All ``documents`` under the law ``rows``: null, empty, long and repeated texts as ``shard`` says."""
     return shard(documents(spark, sf_dir)).select(
         "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
     )
+
+
+def _half(k: int, side: str) -> str:
+    """One half round: the one side moves by a hash of the other."""
+    a, b = ("l", "r") if side == "l" else ("r", "l")
+    noise = f"('0x' || substr(md5('{SEED}:{k}:' || {b}), 1, 8))::BIGINT"
+    return f"({a} + {noise}) % {'a' if side == 'l' else 'b'} AS {a}, {b}"
+
+
+def _pass(source: str) -> str:
+    """One pass of the network over ``source`` (doc_id, size, text_crc32, row, n, a, b, p)."""
+    keep = "doc_id, size, text_crc32, row, n, a, b"
+    out = f"SELECT {keep}, p % a AS l, p // a AS r FROM {source}"
+    for k in range(2 * ROUNDS):
+        out = f"SELECT {keep}, {_half(k, 'lr'[k % 2])} FROM ({out})"
+    return f"SELECT {keep}, l + r * a AS p FROM ({out})"
+
+
+OP3_SQL = f"""WITH RECURSIVE crc AS MATERIALIZED {CRC_TABLE_SQL},
+d AS MATERIALIZED (SELECT doc_id, octet_length(encode(coalesce(text, ''))) + 1 AS size, {crc_sql("encode(coalesce(text, ''))")} AS text_crc32 FROM documents, crc),
+s AS (SELECT *, floor(sqrt(greatest(n - 1, 0)))::BIGINT + 1 AS a FROM (SELECT count(*) AS n FROM d)),
+numbered AS MATERIALIZED (SELECT doc_id, size, text_crc32, row_number() OVER (ORDER BY doc_id NULLS FIRST, text_crc32, size) - 1 AS row, n, a, greatest(1, (n + a - 1) // a) AS b FROM d, s),
+walk AS ({_pass("(SELECT *, row AS p FROM numbered)")} UNION ALL {_pass("(SELECT * FROM walk WHERE p >= n)")})
+SELECT doc_id, size, text_crc32, 'rows' AS law, (p % {SHARDS})::INTEGER AS shard, p // {SHARDS} AS slot, NULL::INTEGER AS grown_shard FROM walk WHERE p < n"""

@@ -12,7 +12,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpoint, documents, row_numbers, text_of
+from .common import CRC_TABLE_SQL, checkpoint, crc_sql, documents, row_numbers, text_of
 
 #: Words that anchor a signature, and are none of its content.
 COMMON = (
@@ -30,7 +30,7 @@ _NO_ID = -(1 << 63)
 
 
 def signatures(text: Column) -> Column:
-    """The set of a text's signatures as ascending 32-bit hashes.
+    """The set of a text's signatures as ascending 32-bit checksums (less 2^31).
 
     The begin of the text counts as an anchor, so a text with words has at least one; one without words, or null,
     has none.  Case and punctuation don't count.  At the end of the text a chain is shorter.
@@ -43,17 +43,18 @@ def signatures(text: Column) -> Column:
 
     def signature(x: Column, i: Column, content: Column) -> Column:
         rest = [F.get(content, i + k) for k in range(1, CHAIN)]
-        return F.when(F.contains(x, F.lit(_MARK)), F.hash(x, *rest))
+        sum_ = F.crc32(F.concat_ws(" ", x, *rest).cast("binary"))
+        return F.when(F.contains(x, F.lit(_MARK)), (sum_ - (1 << 31)).cast("int"))
 
     every = F.transform(
         F.array(both), lambda s: F.array_compact(F.transform(s["w"], lambda x, i: signature(x, i, s["c"])))
     )[0]
-    return F.when(F.length(marked) > 0, F.array_sort(F.array_distinct(every))).otherwise(F.array().cast("array<int>"))
+    return F.when(F.length(marked) > 0, F.sort_array(F.array_distinct(every))).otherwise(F.array().cast("array<int>"))
 
 
 def fingerprint(sigs: Column) -> Column:
     """Eight hexadecimal digits for each signature."""
-    return F.array_join(F.transform(sigs, lambda h: F.lpad(F.lower(F.hex(h.cast("long").bitwiseAND(0xFFFFFFFF))), 8, "0")), "")
+    return F.array_join(F.transform(sigs, lambda h: F.lpad(F.lower(F.hex(h.cast("long") + (1 << 31))), 8, "0")), "")
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -126,4 +127,28 @@ def similar(docs: DataFrame, least: float = 0.8, id_col: str = "doc_id", text_co
 
 
 def op7_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All ``documents``; nulls, empty, long and repeated texts and repeated ids as ``compare_with_next`` says."""
     return compare_with_next(documents(spark, sf_dir))
+
+
+_COMMON_SQL = ", ".join(f"'{w}'" for w in sorted(set(COMMON)))
+OP7_SQL = f"""WITH crc AS MATERIALIZED {CRC_TABLE_SQL},
+d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+n AS (SELECT doc_id, text, coalesce(lead(doc_id) OVER o, first_value(doc_id) OVER o) AS next_id, coalesce(lead(text) OVER o, first_value(text) OVER o) AS next_text FROM d WINDOW o AS (ORDER BY doc_id DESC)),
+e AS MATERIALIZED (SELECT doc_id, next_id, text, length(text) AS n_chars, left(text, length(text) - length(text) // 2) || left(next_text, length(text) // 2) AS edited FROM n),
+plain AS (SELECT doc_id, k, list_filter(string_split(regexp_replace(lower(s), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'), ' '), lambda w: w <> '') AS w
+  FROM (SELECT doc_id, 0 AS k, text AS s FROM e UNION ALL SELECT doc_id, 1, edited FROM e)),
+marked AS (SELECT doc_id, k, string_split(chr(1) || rtrim(array_to_string(list_transform(w, lambda x: CASE WHEN list_contains([{_COMMON_SQL}], x) THEN x || chr(1) ELSE x || ' ' END), ''), ' '), ' ') AS w
+  FROM plain WHERE len(w) > 0),
+content AS (SELECT *, list_transform(w, lambda x: string_split(x, chr(1))[-1]) AS c FROM marked),
+chain AS (SELECT DISTINCT doc_id, k, unnest(list_transform(list_filter(list_zip(w, range(1, len(w) + 1)), lambda z: contains(z[1], chr(1))),
+  lambda z: array_to_string(list_prepend(z[1], c[z[2] + 1:z[2] + {CHAIN - 1}]), ' '))) AS s FROM content),
+summed AS MATERIALIZED (SELECT s, {crc_sql("encode(s)")} AS h FROM (SELECT DISTINCT s FROM chain), crc),
+f AS MATERIALIZED (SELECT doc_id, k, list(h ORDER BY h) AS sigs FROM (SELECT DISTINCT doc_id, k, h FROM chain JOIN summed USING (s)) GROUP BY ALL),
+g AS (SELECT e.*, coalesce(a.sigs, []) AS x, coalesce(b.sigs, []) AS y, coalesce(z.sigs, []) AS z FROM e LEFT JOIN f a ON a.doc_id = e.doc_id AND a.k = 0
+  LEFT JOIN f b ON b.doc_id = e.doc_id AND b.k = 1 LEFT JOIN f z ON z.doc_id = e.next_id AND z.k = 0)
+SELECT doc_id, n_chars, sha256(edited) AS edited_sha256, array_to_string(list_transform(x, lambda h: lpad(lower(to_hex(h)), 8, '0')), '') AS fingerprint,
+  array_to_string(list_transform(y, lambda h: lpad(lower(to_hex(h)), 8, '0')), '') AS edited_fingerprint,
+  CASE WHEN len(x) + len(y) = 0 THEN 1 ELSE round(len(list_intersect(x, y)) / greatest(len(x) + len(y) - len(list_intersect(x, y)), 1), 9) END::DOUBLE AS near_edited,
+  CASE WHEN len(x) + len(z) = 0 THEN 1 ELSE round(len(list_intersect(x, z)) / greatest(len(x) + len(z) - len(list_intersect(x, z)), 1), 9) END::DOUBLE AS near_next
+FROM g"""
