@@ -1,6 +1,7 @@
 """Nulls, empty and very long texts, ties, repeated rows, empty tables and clashing columns, for every operator and stage."""
 
 import hashlib
+import random
 import zlib
 
 import pytest
@@ -106,6 +107,8 @@ def test_line_dedup(docs, none):
     got = {r.doc_id: r for r in line_dedup.fuzzy_lines(docs).where("doc_id is not null").collect()}
     assert (got[8].n_lines, got[8].n_kept, got[8].dropped) == (3, 3, []) and got[3].n_lines == 1 and got[1].n_kept == 1
     assert sum(r.n_kept for r in line_dedup.fuzzy_lines(docs).where("doc_id = 2").collect()) == 0
+    kept = line_dedup.without_repeated_lines(docs)
+    assert kept.count() == len(ROWS) and kept.columns == docs.columns  # rows that repeat an id don't multiply
     assert line_dedup.fuzzy_lines(none).count() == 0 and line_dedup.without_repeated_lines(none).columns == docs.columns
 
 
@@ -134,6 +137,24 @@ def test_toxicity(spark, docs, none):
     labels = spark.createDataFrame([(1, 0), (1, 1), (None, 1), (5, None), (6, 0)], "doc_id long, toxic int")
     assert toxicity.without_toxic(docs, labels).count() == len(ROWS)
     assert toxicity.without_toxic(none, labels.limit(0)).columns == docs.columns
+    # with a real lexicon: nulls, ties, repeated rows and a text of many words beside it
+    def text(i, more):
+        rng = random.Random(i)
+        w = [f"w{rng.randrange(150)}" for _ in range(40)]
+        for x in rng.sample(more, len(more) // 2):
+            w.insert(rng.randrange(10, 30), x)
+        return " ".join(w)
+
+    bad = [(100 + i, text(i, "idiot scum moron clown trash loser".split()), "en", "a", 1) for i in range(60)]
+    good = [(200 + i, text(200 + i, []), "en", "a", 1) for i in range(90)]
+    rows = spark.createDataFrame([*ROWS, *bad, *good, *bad[:2]], SCHEMA).withColumns({c: F.lit("clash") for c in CLASHES})
+    labels = spark.createDataFrame([(i, 1) for i, *_ in bad] + [(i, 0) for i, *_ in good] + [(200, None), (None, 1), (100, 1)], "doc_id long, toxic int")
+    lexicon = toxicity.induce(rows, labels)
+    assert len(lexicon.words)
+    kept = toxicity.without_toxic(rows, labels)
+    assert kept.columns == rows.columns and kept.where("doc_id >= 200").count() == 90 and kept.where("doc_id between 100 and 199").count() == 0
+    assert kept.where("doc_id is null or doc_id < 100").count() == len(ROWS)
+    assert toxicity.without_toxic(rows.limit(0), labels).count() == 0
 
 
 def test_url_filter(spark):
