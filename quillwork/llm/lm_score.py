@@ -28,6 +28,8 @@ WORDS, OTHERS, BASE = 960, 64, 32
 VOCABULARY = WORDS + OTHERS
 #: Places, by hash, that the words of the classes are counted at over the whole corpus; rare words may share one.
 PLACES = 1 << 20
+#: Places that come to the driver as one value.
+SPAN = 1 << 12
 #: Places of the window, relative to the word.
 WINDOW = (-2, -1, 1, 2)
 HIDDEN = 24
@@ -282,9 +284,18 @@ def count(docs: DataFrame, text_col: str = "text") -> tuple[Words, np.ndarray]:
             rest = ~np.isin(h, hashes)
             yield pd.DataFrame({"place": (mix(h[rest]) & np.uint64(PLACES - 1)).astype(np.int64), "n": pdf["n"].to_numpy()[rest]})
 
-    at = totals.mapInPandas(places, "place long, n long").groupBy("place").agg(F.sum("n").alias("n")).toPandas()  # PLACES rows at most
-    n = np.zeros(PLACES)
-    n[at["place"]] = at["n"]
+    def dense(pdf: pd.DataFrame) -> pd.DataFrame:
+        out = np.zeros(SPAN)
+        out[pdf["place"].to_numpy() % SPAN] = pdf["n"]
+        return pd.DataFrame({"span": [pdf["place"].iloc[0] // SPAN], "n": [out.tobytes()]})
+
+    at = totals.mapInPandas(places, "place long, n long").groupBy("place").agg(F.sum("n").alias("n"))
+    # PLACES / SPAN rows, together PLACES doubles
+    at = at.groupBy(F.shiftright("place", SPAN.bit_length() - 1)).applyInPandas(dense, "span long, n binary").toPandas()
+    n = np.zeros((PLACES // SPAN, SPAN))
+    for span, part in at.itertuples(index=False):
+        n[span] = np.frombuffer(part)
+    n = n.ravel()
     f = np.zeros(VOCABULARY)
     f[: len(top)] = top["n"]
     f[WORDS:] = n.reshape(-1, OTHERS).sum(0)
