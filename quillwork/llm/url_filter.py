@@ -36,7 +36,7 @@ def path_of(url: Column) -> Column:
 
 def judge(host: Column, path: Column, rules: list[tuple[str, str, str]]) -> tuple[Column, Column]:
     """The longest fitting rule and its action, null without one.  The list of rules becomes part of the plan,
-    so it must suit the driver; of rules equally long an allowing one counts.
+    so it must be short (``judged`` takes a table); of rules equally long an allowing one counts.
     """
     rule = action = F.lit(None).cast("string")
     for act, h, p in sorted(rules, key=lambda r: (len(r[1] + r[2]), r[0] == "allow")):
@@ -45,6 +45,26 @@ def judge(host: Column, path: Column, rules: list[tuple[str, str, str]]) -> tupl
     return rule, action
 
 
+def judged(rows: DataFrame, rules: list[tuple[str, str, str]] | DataFrame) -> DataFrame:
+    """``rows`` (host, path and more) with the longest fitting ``rule`` and its ``action``.
+
+    Rules of a table (action, host, path) of any length meet the urls by the host and each of its parent domains; each different host and path
+    is judged once.  Rows of the table with a null are no rules.
+    """
+    if not isinstance(rules, DataFrame):
+        rule, action = judge(F.col("host"), F.col("path"), rules)
+        return rows.withColumns({"rule": rule, "action": action})
+    labels = F.split("host", "\\.")
+    above = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    urls = rows.select("host", "path").distinct()
+    r = rules.select(F.col("action").alias("_qw_act"), F.col("host").alias("_qw_host"), F.col("path").alias("_qw_path")).dropna()
+    met = urls.select("host", "path", F.explode(above).alias("_qw_host")).join(r, "_qw_host").where(F.col("path").startswith(F.col("_qw_path")))
+    name = F.concat("_qw_host", "_qw_path")
+    best = F.max(F.struct(F.length(name), F.col("_qw_act") == "allow", name.alias("rule"), F.col("_qw_act").alias("action"))).alias("best")
+    found = met.groupBy("host", "path").agg(best).select("host", "path", "best.rule", "best.action")
+    return rows.join(found, ["host", "path"], "left")
+
+
 def node_of(url: Column) -> Column:
     """The url that a request asks for: scheme and host in lower case, no fragment, at least the path ``/``; null
     without ``://``."""
@@ -89,31 +109,31 @@ def alias_edges(pages: DataFrame, url_col: str = "url", html_col: str = "html")
 
 
 def filter_urls(
-    pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, edges: DataFrame | None = None,
+    pages: DataFrame, rules: list[tuple[str, str, str]] | DataFrame = RULES, edges: DataFrame | None = None,
     id_col: str = "page_id", url_col: str = "url", html_col: str = "html",
 ) -> DataFrame:
-    """One row a page: id, url, host, path, rule, verdict, propagated.
+    """One row a page: id, url, host, path, rule, verdict, propagated.  ``rules`` is a short list, or a table of any length (``judged``).
 
     ``edges`` (src, dst: urls) adds aliases that a crawler's log knows.  A url that no rule fits is blocked
     if its component has a blocked and no explicitly allowed member, else allowed; a null url, or one without
-    ``://``, has empty host and path and is allowed.  Pages that repeat a url are judged alike.
+    ``://``, has empty host and path and is allowed.  Pages that repeat a url are judged alike; a null page names no alias, very
+    long ones are read whole, other columns are not read.  An empty table gives an empty result.
     """
     url = F.col(url_col)
     rows = pages.select(F.col(id_col).alias("page_id"), url.alias("url"), host_of(url).alias("host"), path_of(url).alias("path"))
-    rule, action = judge(F.col("host"), F.col("path"), rules)
-    rows = rows.withColumns({"rule": rule, "_qw_action": action, "_qw_node": node_of(F.col("url"))})
+    rows = judged(rows, rules).withColumnRenamed("action", "_qw_action").withColumn("_qw_node", node_of(F.col("url")))
     links = alias_edges(pages, url_col, html_col)
     if edges is not None:
         more = edges.select(node_of(F.col("src")).alias("src"), node_of(F.col("dst")).alias("dst"))
         links = links.unionByName(more.where("src is not null and dst is not null"))
     parts = connected_components(links)
     parts = parts.withColumns({"host": host_of(F.col("node")), "path": path_of(F.col("node"))})
-    judged = parts.withColumn("said", judge(F.col("host"), F.col("path"), rules)[1])
+    said = judged(parts, rules).withColumnRenamed("action", "said")
     blocked = (
-        judged.groupBy("component").agg(F.max(F.col("said") == "allow").alias("allowed"), F.max(F.col("said") == "block").alias("blocked"))
+        said.groupBy("component").agg(F.max(F.col("said") == "allow").alias("allowed"), F.max(F.col("said") == "block").alias("blocked"))
         .where("blocked and not coalesce(allowed, false)").select("component")
     )
-    aliases = judged.where("said is null").join(blocked, "component", "left_semi").select(F.col("node").alias("_qw_node"), F.lit(True).alias("_qw_blocked"))
+    aliases = said.where("said is null").join(blocked, "component", "left_semi").select(F.col("node").alias("_qw_node"), F.lit(True).alias("_qw_blocked"))
     return rows.join(aliases, "_qw_node", "left").select(
         "page_id", "url", "host", "path", "rule",
         F.coalesce("_qw_action", F.when(F.col("_qw_blocked"), "block"), F.lit("allow")).alias("verdict"),
@@ -122,6 +142,7 @@ def filter_urls(
 
 
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All ``pages``; nulls, odd urls and repeated rows as ``filter_urls`` says."""
     return filter_urls(documents(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
 
