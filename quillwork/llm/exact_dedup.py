@@ -84,6 +84,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All ``documents``; nulls, empty and repeated texts and ids as ``exact_dedup`` says."""
     docs = documents(spark, sf_dir).select("doc_id", "text")
     return exact_dedup(docs).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 

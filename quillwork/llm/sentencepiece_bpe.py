@@ -315,4 +315,5 @@ def decode(encoded_rows: DataFrame, path: str = MODEL) -> DataFrame:
 
 
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All ``documents``, each row for itself; null and empty texts have no pieces, very long ones are encoded whole."""
     return both_ways(documents(spark, sf_dir))

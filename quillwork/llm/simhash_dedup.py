@@ -372,4 +372,5 @@ def without_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 
 def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All ``documents``; nulls, empty, very long and repeated texts and ids as ``near_classes`` says."""
     return near_classes(documents(spark, sf_dir))
