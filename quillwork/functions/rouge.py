@@ -27,7 +27,7 @@ def _counts(a: Column) -> Column:
     def numbered(s: Column) -> Column:
         return F.transform(s, lambda x, i: F.struct(x.alias("x"), (i - F.array_position(s, x) + 1).cast("int").alias("k")))
 
-    return F.transform(F.array(F.array_sort(a)), numbered)[0]
+    return F.transform(F.array(F.sort_array(a)), numbered)[0]
 
 
 def rouge_n(prediction: Column, target: Column, n: int) -> Column:

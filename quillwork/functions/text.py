@@ -52,7 +52,13 @@ def normalize_space(c: Column, mend_newlines: bool = True) -> Column:
 
 def truncate_words(c: Column, most: int, mend_newlines: bool = True) -> Column:
     """The first ``most`` words of the flattened text."""
-    return F.array_join(F.slice(words(normalize_space(c, mend_newlines)), 1, most), " ")
+    # what is behind the last word wanted stays in one piece
+    return F.array_join(F.slice(F.split(normalize_space(c, mend_newlines), " ", most + 1), 1, most), " ")
+
+
+def blank(c: Column) -> Column:
+    """Whether nothing is left of a text once its space is normalised; looks no further than the first character that is."""
+    return text_of(c).rlike(r"(?U)^(?:[\s\x{a0}]|\\n|/n)*$")
 
 
 def clean_field(c: Column, joint: str, is_list: bool = False) -> Column:
@@ -126,21 +132,22 @@ def _ascii_only(c: Column) -> Column:
 
 def ngrams(tok: Column, n: int) -> Column:
     """Contiguous runs of n tokens, each joined by spaces; none if there are fewer."""
-    places = F.sequence(F.lit(1), F.greatest(F.size(tok) - n + 1, F.lit(1)))
-    return F.when(F.size(tok) >= n, F.transform(places, lambda i: F.array_join(F.slice(tok, i, F.lit(n)), " "))).otherwise(
-        F.array().cast("array<string>")
-    )
+    many = F.greatest(F.size(tok) - n + 1, F.lit(0))
+    out = F.slice(tok, F.lit(1), many)
+    for k in range(1, n):
+        out = F.zip_with(out, F.slice(tok, F.lit(k + 1), many), lambda a, b: F.concat(a, F.lit(" "), b))
+    return out
 
 
 def entities(c: Column) -> Column:
     """Runs of up to six capitalised words, distinct, in lower case and sorted."""
     found = F.transform(F.regexp_extract_all(text_of(c), F.lit(ENTITY), F.lit(0)), lambda e: F.lower(normalize_space(e, False)))
-    return F.array_sort(F.array_distinct(F.filter(found, lambda e: (F.char_length(e) >= 2) & ~e.isin(ENTITY_STOP))))
+    return F.sort_array(F.array_distinct(F.filter(found, lambda e: (F.char_length(e) >= 2) & ~e.isin(ENTITY_STOP))))
 
 
 def numbers(c: Column) -> Column:
     """Whole numbers, decimals and percentages that no word character adjoins, distinct and sorted."""
-    return F.array_sort(F.array_distinct(F.regexp_extract_all(text_of(c), F.lit(NUMBER), F.lit(0))))
+    return F.sort_array(F.array_distinct(F.regexp_extract_all(text_of(c), F.lit(NUMBER), F.lit(0))))
 
 
 def safe_div(a: Column, b: Column) -> Column:
@@ -164,13 +171,19 @@ def set_overlap(pred: Column, ref: Column) -> Column:
 
 def sentence_support(prediction: Column, source: Column) -> Column:
     """Mean share, over the predicted sentences that have tokens of four characters or more, of those that the source has."""
-    have = F.array_distinct(tokens(source))
     content = F.filter(
         F.transform(plain_sentences(prediction), lambda s: F.array_distinct(F.filter(tokens(s), lambda t: F.char_length(t) >= 4))),
         lambda t: F.size(t) > 0,
     )
-    shares = F.transform(content, lambda t: F.size(F.array_intersect(t, have)) / F.size(t))
-    return safe_div(F.aggregate(shares, F.lit(0.0), lambda a, x: a + x), F.size(shares))
+
+    def mean(content: Column, had: Column) -> Column:
+        shares = F.transform(content, lambda t: F.size(F.array_intersect(t, had)) / F.size(t))
+        return F.aggregate(shares, F.lit(0.0), lambda a, x: a + x, lambda a: safe_div(a, F.size(content)))
+
+    # bound one after the other by lambdas: the sentences once, the source's tokens once, then only those of them that the sentences have
+    bound = F.array(F.struct(content.alias("c"), tokens(source).alias("s")))
+    bound = F.transform(bound, lambda x: F.struct(x["c"].alias("c"), F.array_intersect(F.flatten(x["c"]), x["s"]).alias("had")))
+    return F.transform(bound, lambda x: mean(x["c"], x["had"]))[0]
 
 
 def normalize_paper_id(c: Column) -> Column:

@@ -97,10 +97,10 @@ def input_text(query: Column, contexts: Column, prefix: str = "summarize", most:
 def examples(rows: DataFrame, query: Column, contexts: Column, target: Column, prefix: str = "summarize") -> tuple[DataFrame, DataFrame]:
     """``rows`` with input_text and target_text; and those that can't be examples, with the reason."""
     cut = T.truncate_words(target, INPUTS.target_words)
-    all_ = rows.withColumns({"input_text": input_text(query, contexts, prefix), "target_text": cut})
-    reason = F.when(F.col("target_text") == "", "empty_target").when(F.col("input_text").isNull(), "empty_contexts")
-    all_ = all_.withColumn("reject_reason", reason)
-    return all_.where("reject_reason is null").drop("reject_reason"), all_.where("reject_reason is not null").drop("input_text", "target_text")
+    # told from the begin of the texts, so that the filter doesn't assemble them
+    reason = F.when(T.blank(target), "empty_target").when(~F.coalesce(F.exists(contexts, lambda c: ~T.blank(c)), F.lit(False)), "empty_contexts")
+    good = rows.where(reason.isNull()).withColumns({"input_text": input_text(query, contexts, prefix), "target_text": cut})
+    return good, rows.withColumn("reject_reason", reason).where("reject_reason is not null")
 
 
 def gold_at_k(ranked: Column, relevant: Column, k: int) -> Column:
@@ -189,6 +189,12 @@ def shuffled(rows: DataFrame, key: str, seed: int = SEED) -> DataFrame:
     return rows.orderBy(T.keyed(seed, F.col(key), "shuffle"), key)
 
 
+def with_section(section: Column, text: Column) -> Column:
+    """A chunk's text behind its section's title in brackets, where there is one."""
+    title = T.normalize_space(section, False)
+    return F.when(title != "", F.concat(F.lit("["), title, F.lit("] "), text)).otherwise(text)
+
+
 def fit_contexts(contexts: Column, budget: int = 900, each: int = 220, least: int = 32) -> Column:
     """The contexts, each cut to ``each`` words, that fit the budget; the first that doesn't is cut to what is left if that is ``least`` words or more."""
     cut = F.transform(contexts, lambda c: T.truncate_words(c, each))

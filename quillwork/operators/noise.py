@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..config import BUILD, SEED
 from ..functions import text as T
+from .places import places
 
 SHARES = (0.1, 0.2, 0.6, 0.7, 0.95, 0.98)
 MODES = {"cross_doc_easy": ((0.7, 0.95), (0.6, 0.98)), "cross_doc_hard": ((None, 0.1), (None, 0.2))}
@@ -24,7 +25,7 @@ def band(scored: DataFrame, mode: str) -> DataFrame:
     """
     if mode not in MODES:
         raise ValueError(f"no such mode: {mode}")
-    s = scored.withColumn("score", F.when(F.isnan("score") | F.col("score").isNull(), -1.0).otherwise(F.col("score")))
+    s = scored.withColumn("score", _clean_score())
     p = s.groupBy("query_id").agg(F.expr(f"percentile(score, array{SHARES})").alias("p"))
     s = s.join(p, "query_id")
 
@@ -38,34 +39,98 @@ def band(scored: DataFrame, mode: str) -> DataFrame:
     return s.withColumn("_some", some).where(F.when(F.col("_some"), F.col("_narrow")).otherwise(F.col("_wide"))).select(*scored.columns)
 
 
+def _clean_score() -> Column:
+    return F.when(F.isnan("score") | F.col("score").isNull(), -1.0).otherwise(F.col("score"))
+
+
+def _nth(k: Column, out: Column) -> Column:
+    """Place of the k-th row, from 0, that is not at one of the ascending places ``out``."""
+    return k + F.size(F.filter(out, lambda x, i: x - i <= k))
+
+
+def _drawn(size: Column, n: int, *key: Column | str | int) -> Column:
+    """n different numbers below ``size`` at random by a keyed hash (all of them, if there are no more), each set equally likely."""
+
+    def draw(chosen: Column, j: Column) -> Column:
+        top = size - F.least(F.lit(n), size) + j
+        t = T.keyed_number(*key, j.cast("string")) % (top + 1)
+        return F.concat(chosen, F.array(F.when(F.array_contains(chosen, t), top).otherwise(t)))
+
+    steps = F.when(size > 0, F.sequence(F.expr("0L"), F.least(F.lit(n), size).cast("long") - 1)).otherwise(F.array().cast("array<bigint>"))
+    return F.aggregate(steps, F.array().cast("array<bigint>"), draw)
+
+
+def _intervals(papers: DataFrame, ranked: DataFrame, mode: str) -> DataFrame:
+    """``papers`` (paper_id, query_id, out, m) and the places ``first`` to ``last`` of the paper's band.
+
+    The band's percentiles are of the m documents that the paper may have, so each paper looks up the two scores round each
+    bound; a score's places give the band's ends.
+    """
+    levels = ranked.groupBy("query_id", "score").agg(F.min("place").alias("low"), F.max("place").alias("high"))
+    ends = [(w, e, share) for w, pair in enumerate(MODES[mode]) for e, share in enumerate(pair) if share is not None]
+    at = lambda share: F.lit(share) * (F.col("m") - 1)
+    wanted = [
+        F.struct(F.lit(w).alias("w"), F.lit(e).alias("e"), _nth(F.floor(at(s)), F.col("out")).alias("a"),
+                 _nth(F.least(F.floor(at(s)) + 1, F.col("m") - 1), F.col("out")).alias("b"), (at(s) - F.floor(at(s))).alias("part"))
+        for w, e, s in ends
+    ]
+    asked = papers.where("m > 0").select("paper_id", "query_id", F.explode(F.array(*wanted)).alias("x")).select("paper_id", "query_id", "x.*")
+    scores = ranked.select("query_id", "place", "score")
+    for c in "ab":
+        asked = asked.join(scores.select("query_id", F.col("place").alias(c), F.col("score").alias(f"s{c}")), ["query_id", c])
+        asked = asked.join(levels.select("query_id", F.col("score").alias(f"s{c}"), F.col("low").alias(f"low_{c}"), F.col("high").alias(f"high_{c}")), ["query_id", f"s{c}"])
+    v = F.round(F.col("sa") + (F.col("sb") - F.col("sa")) * F.col("part"), 9)
+    first = F.when(v <= F.col("sa"), F.col("low_a")).otherwise(F.col("low_b"))
+    last = F.when(v >= F.col("sb"), F.col("high_b")).otherwise(F.col("high_a"))
+    asked = asked.withColumn("end", F.when(F.col("e") == 0, first).otherwise(last))
+    found = asked.groupBy("paper_id", "query_id").agg(
+        *[F.coalesce(F.max(F.when((F.col("w") == w) & (F.col("e") == e), F.col("end"))), F.lit(0)).alias(f"{'first' if e == 0 else 'last'}{w}") for w in (0, 1) for e in (0, 1)]
+    )
+    both = papers.join(found, ["paper_id", "query_id"])
+    inside = lambda w: F.col(f"last{w}") - F.col(f"first{w}") + 1 - F.size(F.filter("out", lambda x: x.between(F.col(f"first{w}"), F.col(f"last{w}"))))
+    some = inside(0) > 0
+    return both.select("paper_id", "query_id", "out", F.when(some, F.col("first0")).otherwise(F.col("first1")).alias("first"), F.when(some, inside(0)).otherwise(inside(1)).alias("size"))
+
+
 def sample(
-    papers: DataFrame, pool: DataFrame, banded: DataFrame | None, mode: str, n: int = BUILD.noise_k, seed: int = SEED, clean: DataFrame | None = None
+    papers: DataFrame, pool: DataFrame, scored: DataFrame | None, mode: str, n: int = BUILD.noise_k, seed: int = SEED, clean: DataFrame | None = None
 ) -> DataFrame:
-    """``(paper_id, doc_id, pick)``: n distractors of each paper (paper_id, query_id) at random by a keyed hash.
+    """``(paper_id, doc_id, source_doc_id, pick)``: n distractors of each paper (paper_id, query_id) at random by a keyed hash.
+
+    A distractor is of another source than the paper (its ``own_source``, if it has that column, else its id) and none of its ``clean`` documents
+    (paper_id, doc_id); the band's percentiles are those of the documents that are left to the paper.  ``scored`` has the (query_id, doc_id,
+    score) of the pool; mode ``cross_document`` takes any document; in mode ``mixed_easy_hard`` a coin of the paper's chooses the band.
 
-    A distractor is of another source than the paper and none of its ``clean`` documents (paper_id, doc_id).  ``banded`` holds the
-    candidates of each query; without it, every document of the pool is one (mode ``cross_document``).  Of each query only as
-    many candidates meet a paper as it can need: the hash orders the band once a query and the paper starts at a place
-    of its own, so a pool of any size costs a paper its picks and what is excluded, not the pool.
+    The pool is put in order once a query.  A paper's documents are told by their places in it, so a pool of any size costs a paper its bounds, its
+    picks and what is excluded, not the pool.
     """
+    if mode == "mixed_easy_hard":
+        coin = papers.withColumn("_mode", mixed_mode(F.col("paper_id"), seed))
+        parts = [sample(coin.where(F.col("_mode") == m).drop("_mode"), pool, scored, m, n, seed, clean) for m in MODES]
+        return parts[0].unionByName(parts[1])
+    if mode != "cross_document" and mode not in MODES:
+        raise ValueError(f"no such mode: {mode}")
+    own = F.col("own_source") if "own_source" in papers.columns else F.col("paper_id")
+    asked = papers.select("paper_id", "query_id" if mode in MODES else F.lit(0).alias("query_id"), own.alias("own_source")).distinct()
     sized = pool.select("doc_id", "source_doc_id")
-    queries = papers.select("query_id").distinct()
-    candidates = banded.select("query_id", "doc_id").join(sized, "doc_id") if banded is not None else sized.join(F.broadcast(queries))
-    ring = Window.partitionBy("query_id").orderBy(T.keyed(seed, F.col("query_id"), mode, F.col("doc_id")), "doc_id")
-    candidates = candidates.withColumn("place", F.row_number().over(ring) - 1)
-    size = candidates.groupBy("query_id").agg(F.count("*").alias("size"))
-    excluded = papers.select("paper_id").withColumn("drop", F.lit(0)) if clean is None else clean.groupBy("paper_id").agg(F.count("*").alias("drop"))
-    own = sized.groupBy("source_doc_id").agg(F.count("*").alias("own")).withColumnRenamed("source_doc_id", "paper_id")
-    start = papers.join(size, "query_id").join(excluded, "paper_id", "left").join(own, "paper_id", "left")
-    reach = F.least("size", F.lit(n) + F.coalesce("drop", F.lit(0)) + F.coalesce("own", F.lit(0)))
-    first = T.keyed_number(seed, F.col("paper_id"), mode) % F.col("size")
-    tries = start.where("size > 0").select("paper_id", "query_id", F.posexplode(F.sequence(F.lit(0), F.greatest(reach, F.lit(1)) - 1)).alias("turn", "step"), first.alias("first"), "size")
-    tries = tries.withColumn("place", ((F.col("first") + F.col("step")) % F.col("size")).cast("int"))
-    met = tries.join(candidates, ["query_id", "place"]).where(F.col("source_doc_id") != F.col("paper_id"))
+    rows = scored.select("query_id", "doc_id", _clean_score().alias("score")).join(sized, "doc_id") if mode in MODES else sized.select(F.lit(0).alias("query_id"), "*", F.lit(0.0).alias("score"))
+    ranked = places(rows, "query_id", ["score", "doc_id"])
+    size = ranked.groupBy("query_id").agg(F.count("*").alias("_n"))
+    out = asked.join(ranked.select("query_id", "place", F.col("source_doc_id").alias("own_source")), ["query_id", "own_source"]).select("paper_id", "query_id", "place")
     if clean is not None:
-        met = met.join(clean.select("paper_id", "doc_id"), ["paper_id", "doc_id"], "left_anti")
-    pick = F.row_number().over(Window.partitionBy("paper_id").orderBy("turn"))
-    return met.withColumn("pick", pick).where(F.col("pick") <= n).select("paper_id", "doc_id", "source_doc_id", "pick")
+        named = clean.select("paper_id", "doc_id").join(asked, "paper_id").join(ranked.select("query_id", "doc_id", "place"), ["query_id", "doc_id"])
+        out = out.unionByName(named.select("paper_id", "query_id", "place"))
+    out = out.groupBy("paper_id", "query_id").agg(F.sort_array(F.collect_set("place")).alias("out"))  # a paper's own documents
+    told = asked.select("paper_id", "query_id").join(size, "query_id").join(out, ["paper_id", "query_id"], "left")
+    told = told.withColumn("out", F.coalesce("out", F.expr("cast(array() as array<bigint>)"))).withColumn("m", F.col("_n") - F.size("out"))
+    if mode in MODES:
+        bands = _intervals(told, ranked, mode)
+    else:
+        bands = told.select("paper_id", "query_id", "out", F.expr("0L").alias("first"), F.col("m").alias("size"))
+    drawn = bands.select("paper_id", "query_id", "out", "first", F.posexplode(_drawn(F.col("size"), n, seed, F.col("paper_id"), mode)).alias("pick", "t"))
+    before = F.col("first") - F.size(F.filter("out", lambda x: x < F.col("first")))
+    drawn = drawn.select("paper_id", "query_id", (F.col("pick") + 1).alias("pick"), _nth(before + F.col("t"), F.col("out")).alias("place"))
+    return drawn.join(ranked.select("query_id", "place", "doc_id", "source_doc_id"), ["query_id", "place"]).select("paper_id", "doc_id", "source_doc_id", "pick")
 
 
 def status(mode: Column, wanted: Column, found: Column, pool: Column, scored: Column) -> Column:

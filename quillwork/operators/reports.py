@@ -5,12 +5,13 @@ Metrics are melted to long form first, so a table costs one shuffle on its keys
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import safe_div
 from . import metrics as M
 from . import stats as S
+from .places import places
 
 GROUP = "architecture train_setting model_key condition test_file".split()
 LENGTHS = [f"{s}_{u}" for s in ("source", "target", "prediction") for u in ("words", "tokens", "tokens_model_tokenizer")]
@@ -101,8 +102,8 @@ def align(x: DataFrame, y: DataFrame, on: str = "paper_id_norm", value: str = "v
     a, b = x.select(on, F.col(value).alias("x")), y.select(on, F.col(value).alias("y"))
     both = a.join(b, on)
     if positional and both.isEmpty():
-        place = F.row_number().over(Window.orderBy(on))
-        both = a.withColumn("_p", place).join(b.withColumn("_p", place).drop(on), "_p").drop("_p")
+        a, b = (places(t.withColumn("_all", F.lit(0)), "_all", [on], "_p").drop("_all") for t in (a, b))
+        both = a.join(b.drop(on), "_p").drop("_p")
     return both.withColumn("diff", F.col("x") - F.col("y"))
 
 

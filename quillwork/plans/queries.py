@@ -253,18 +253,16 @@ def chunk_statistics(spark, d):
 
 # vectors and distractors
 
-_QUERY = "(SELECT label AS query_id, min(vec_id) AS vec_id FROM embeddings GROUP BY label)"
-_SCORES = f"""(SELECT q.label AS query_id, e.vec_id AS doc_id, e.label, e.embedding, round({O.dot("q.embedding", "e.embedding")}, 6) AS score
-FROM embeddings e CROSS JOIN (SELECT * FROM embeddings WHERE vec_id IN (SELECT vec_id FROM {_QUERY})) q WHERE e.vec_id NOT IN (SELECT vec_id FROM {_QUERY}))"""
+_SCORES = f"""(SELECT q.vec_id AS query_id, q.label AS query_label, e.vec_id AS doc_id, e.label, e.embedding, round({O.dot("q.embedding", "e.embedding")}, 6) AS score
+FROM embeddings e CROSS JOIN (SELECT * FROM embeddings WHERE vec_id % 100 = 0) q)"""
 _RANKED = f"(SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM {_SCORES})"
 
 
 def _vectors(spark, d):
+    """Every hundredth vector is a query, against all."""
     e = _t(spark, d, "embeddings")
-    first = e.groupBy("label").agg(F.min("vec_id").alias("vec_id"))  # a row a label
-    queries = e.join(first, ["label", "vec_id"], "left_semi").select(F.col("label").alias("query_id"), "embedding")
-    pool = e.join(first, ["label", "vec_id"], "left_anti").select(F.col("vec_id").alias("doc_id"), "label", "embedding")
-    return queries, pool
+    queries = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "embedding", F.col("label").alias("query_label"))
+    return queries, e.select(F.col("vec_id").alias("doc_id"), "label", "embedding")
 
 
 @query(f"SELECT query_id, doc_id, score, rank FROM {_RANKED} WHERE rank <= 10")
@@ -298,19 +296,18 @@ def hard_negatives(spark, d):
     return V.hard_negatives(queries, pool, 4).select("query_id", "doc_id", "score", "pick")
 
 
-@query(f"SELECT vec_id AS doc_id FROM embeddings WHERE vec_id NOT IN (SELECT vec_id FROM {_QUERY}) ORDER BY {O.key(O.lit(str(SEED)), 'vec_id::VARCHAR', O.lit('negative'))}, vec_id LIMIT 20")
+@query(f"SELECT vec_id AS doc_id FROM embeddings WHERE vec_id % 100 <> 0 ORDER BY {O.key(O.lit(str(SEED)), 'vec_id::VARCHAR', O.lit('negative'))}, vec_id LIMIT 20")
 def random_negatives(spark, d):
-    _, pool = _vectors(spark, d)
-    e = _t(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"))
-    return V.negatives(e, e.join(pool, "doc_id", "left_anti"), 20)
+    queries, pool = _vectors(spark, d)
+    return V.negatives(pool.select("doc_id"), queries.select(F.col("query_id").alias("doc_id")), 20)
 
 
-def _band_sql(mode: str) -> str:
+def _band_sql(mode: str, scores: str = _SCORES) -> str:
     (a, b), (c, e) = N.MODES[mode]
     low = lambda x: f"score >= round(quantile_cont(score, {x}) OVER w, 9) AND " if x else ""
     return f"""(SELECT query_id, doc_id, score, label FROM (SELECT *, max(narrow) OVER (PARTITION BY query_id) AS found FROM (
     SELECT *, {low(a)}score <= round(quantile_cont(score, {b}) OVER w, 9) AS narrow, {low(c)}score <= round(quantile_cont(score, {e}) OVER w, 9) AS wide
-    FROM {_SCORES} WINDOW w AS (PARTITION BY query_id))) WHERE CASE WHEN found THEN narrow ELSE wide END)"""
+    FROM {scores} WINDOW w AS (PARTITION BY query_id))) WHERE CASE WHEN found THEN narrow ELSE wide END)"""
 
 
 @query(f"SELECT query_id, doc_id, score FROM {_band_sql('cross_doc_easy')}")
@@ -323,39 +320,48 @@ def percentile_band_hard(spark, d):
     return N.band(V.scores(*_vectors(spark, d)), "cross_doc_hard")
 
 
-def _sample_sql(mode: str, n: int) -> str:
-    """Papers are the probes; a distractor must be of another label and none of the paper's three nearest."""
+def _sample_sql(mode: str) -> str:
+    """Two distractors of each query: of another label and none of its three nearest; the band is that of the documents that are left."""
     s = O.lit(str(SEED))
-    return f"""(WITH band AS (SELECT * FROM {_band_sql(mode)}),
-ring AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY {O.key(s, "query_id::VARCHAR", O.lit(mode), "doc_id::VARCHAR")}, doc_id) - 1 AS place, count(*) OVER (PARTITION BY query_id) AS size FROM band),
-clean AS (SELECT query_id, doc_id FROM {_RANKED} WHERE rank <= 3),
-turn AS (SELECT *, (place - {O.number(s, "query_id::VARCHAR", O.lit(mode))} % size + size) % size AS turn FROM ring
-  WHERE label <> query_id AND NOT EXISTS (SELECT 1 FROM clean c WHERE c.query_id = ring.query_id AND c.doc_id = ring.doc_id))
-SELECT query_id AS paper_id, doc_id, label, pick FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY turn) AS pick FROM turn) WHERE pick <= {n})"""
+    h = lambda j: O.number(s, "query_id::VARCHAR", O.lit(mode), O.lit(str(j)))
+    rows = f"(SELECT s.* FROM {_RANKED} s WHERE label <> query_label AND rank > 3)"
+    return f"""(WITH numbered AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score, doc_id) - 1 AS place, count(*) OVER (PARTITION BY query_id) AS size FROM {_band_sql(mode, rows)}),
+drawn AS (SELECT *, CASE WHEN size > 1 THEN {h(0)} % (size - 1) ELSE 0 END AS a, {h(1)} % size AS b FROM numbered)
+SELECT query_id AS paper_id, doc_id, label, CASE WHEN place = a THEN 1 ELSE 2 END AS pick FROM drawn WHERE place = a OR size > 1 AND place = CASE WHEN b = a THEN size - 1 ELSE b END)"""
 
 
 def _papers(spark, d, k=3):
     queries, pool = _vectors(spark, d)
     scored = V.scores(queries, pool)
-    clean = V.top_k(scored, k).join(pool.select("doc_id", "label"), "doc_id")
-    clean = clean.select(F.col("query_id").cast("string").alias("paper_id"), "query_id", "doc_id", F.col("label").cast("string").alias("source_doc_id"), "score", "rank")
-    return queries.select(F.col("query_id").cast("string").alias("paper_id"), "query_id"), pool.withColumn("source_doc_id", F.col("label").cast("string")), scored, clean
+    pool = pool.select("doc_id", F.col("label").cast("string").alias("source_doc_id"))
+    clean = V.top_k(scored, k).join(pool, "doc_id").select(F.col("query_id").cast("string").alias("paper_id"), "query_id", "doc_id", "source_doc_id", "score", "rank")
+    papers = queries.select(F.col("query_id").cast("string").alias("paper_id"), "query_id", F.col("query_label").cast("string").alias("own_source"))
+    return papers, pool, scored, clean
 
 
-@query(f"SELECT paper_id::VARCHAR AS paper_id, doc_id, pick FROM {_sample_sql('cross_doc_easy', 2)}")
+@query(f"SELECT paper_id::VARCHAR AS paper_id, doc_id, pick FROM {_sample_sql('cross_doc_easy')}")
 def noise_sample(spark, d):
     papers, pool, scored, clean = _papers(spark, d)
-    return N.sample(papers, pool, N.band(scored, "cross_doc_easy"), "cross_doc_easy", 2, clean=clean).select("paper_id", "doc_id", "pick")
+    return N.sample(papers, pool, scored, "cross_doc_easy", 2, clean=clean).select("paper_id", "doc_id", "pick")
+
+
+_MIXED = f"{O.number(O.lit(str(SEED)), 'paper_id::VARCHAR', O.lit('coin'))} % 2"
+
+
+@query(f"SELECT paper_id::VARCHAR AS paper_id, doc_id, pick FROM {_sample_sql('cross_doc_easy')} WHERE {_MIXED} = 0 UNION ALL SELECT paper_id::VARCHAR, doc_id, pick FROM {_sample_sql('cross_doc_hard')} WHERE {_MIXED} = 1")
+def noise_sample_mixed(spark, d):
+    papers, pool, scored, clean = _papers(spark, d)
+    return N.sample(papers, pool, scored, "mixed_easy_hard", 2, clean=clean).select("paper_id", "doc_id", "pick")
 
 
 def _context_sql(mode: str, k: int) -> str:
     return f"""SELECT paper_id::VARCHAR AS paper_id, string_agg(doc_id::VARCHAR, '|' ORDER BY o) AS ids, string_agg(hit::VARCHAR, '|' ORDER BY o) AS flags FROM (
-SELECT query_id AS paper_id, doc_id, rank AS o, 1 AS hit FROM {_RANKED} WHERE rank <= {k} UNION ALL SELECT paper_id, doc_id, pick + 1000000, 0 FROM {_sample_sql(mode, 2)}) GROUP BY paper_id"""
+SELECT query_id AS paper_id, doc_id, rank AS o, 1 AS hit FROM {_RANKED} WHERE rank <= {k} UNION ALL SELECT paper_id, doc_id, pick + 1000000, 0 FROM {_sample_sql(mode)}) GROUP BY paper_id"""
 
 
 def _contexts(spark, d, mode, k):
     papers, pool, scored, clean = _papers(spark, d)
-    noise = N.sample(papers, pool, N.band(scored, mode), mode, 2, clean=clean)
+    noise = N.sample(papers, pool, scored, mode, 2, clean=clean)
     c = N.contexts(clean.where(F.col("rank") <= k), noise)
     return c.select("paper_id", F.array_join(F.col("context_ids").cast("array<string>"), "|").alias("ids"), F.array_join(F.col("hit_flags").cast("array<string>"), "|").alias("flags"))
 
@@ -378,17 +384,17 @@ def assemble_input(spark, d):
     return good.select("doc_id", "input_text", "target_text")
 
 
-_FLAGS = f"(SELECT query_id, list(label ORDER BY rank) AS labels, list((label = query_id)::INT ORDER BY rank) AS f FROM {_RANKED} WHERE rank <= 10 GROUP BY query_id)"
+_FLAGS = f"(SELECT query_id, list(label ORDER BY rank) AS labels, list((label = query_label)::INT ORDER BY rank) AS f FROM {_RANKED} WHERE rank <= 10 GROUP BY query_id)"
 
 
 @query(f"""SELECT r.query_id, k, len(ids[1:k]) AS retrieved, len(list_filter(ids[1:k], lambda x: list_contains(gold, x))) AS hits,
 round(len(list_filter(ids[1:k], lambda x: list_contains(gold, x))) / greatest(len(ids[1:k]), 1), 6) AS precision, round(len(list_filter(ids[1:k], lambda x: list_contains(gold, x))) / greatest(len(gold), 1), 6) AS recall
 FROM (SELECT query_id, list(doc_id ORDER BY rank) AS ids FROM {_RANKED} WHERE rank <= 10 GROUP BY query_id) r
-JOIN (SELECT label, list(vec_id) AS gold FROM embeddings WHERE vec_id NOT IN (SELECT vec_id FROM {_QUERY}) GROUP BY label) g ON g.label = r.query_id, (VALUES (1), (3), (5), (10)) x(k)""")
+JOIN (SELECT q.vec_id AS query_id, list(e.vec_id) AS gold FROM embeddings e JOIN embeddings q ON q.label = e.label AND q.vec_id % 100 = 0 GROUP BY q.vec_id) g USING (query_id), (VALUES (1), (3), (5), (10)) x(k)""")
 def precision_recall_gold(spark, d):
     queries, pool = _vectors(spark, d)
     top = V.search(queries, pool, 10).groupBy("query_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "doc_id"))), lambda x: x["doc_id"]).alias("ids"))
-    gold = pool.groupBy(F.col("label").alias("query_id")).agg(F.collect_list("doc_id").alias("gold"))
+    gold = queries.join(pool, F.col("label") == F.col("query_label")).groupBy("query_id").agg(F.collect_list("doc_id").alias("gold"))
     at = F.array(*[F.struct(F.lit(k).alias("k"), A.gold_at_k(F.col("ids"), F.col("gold"), k).alias("m")) for k in (1, 3, 5, 10)])
     rows = top.join(gold, "query_id").select("query_id", F.explode(at).alias("x"))
     return rows.select("query_id", "x.k", "x.m.retrieved", "x.m.hits", _r(F.col("x.m.precision")).alias("precision"), _r(F.col("x.m.recall")).alias("recall"))
@@ -411,8 +417,8 @@ def retrieval_flags_metrics(spark, d):
 
 def _flag_rows(spark, d):
     queries, pool = _vectors(spark, d)
-    top = V.search(queries, pool, 10).join(pool.select("doc_id", "label"), "doc_id")
-    hit = F.struct("rank", (F.col("label") == F.col("query_id")).cast("int").alias("h"))
+    top = V.search(queries, pool, 10).join(pool.select("doc_id", "label"), "doc_id").join(queries.select("query_id", "query_label"), "query_id")
+    hit = F.struct("rank", (F.col("label") == F.col("query_label")).cast("int").alias("h"))
     rows = top.groupBy("query_id").agg(F.transform(F.sort_array(F.collect_list(hit)), lambda x: x["h"]).alias("f"))
     rows = rows.select("query_id", M.flags_at_k(F.col("f")).alias("m"))
     names = {"mrr": "mrr"} | {f"{m}_{k}": f"{m}@{k}" for k in (1, 3, 5, 10) for m in ("hit", "precision", "recall", "ndcg")}
@@ -433,14 +439,20 @@ def build_examples(spark, d):
 
 # records
 
-_REC = f"(SELECT doc_id, lang, text AS input_text, {O.first_words('text', 60)} AS target_text, array_to_string({O.words(O.space('text'))}[21:90], ' ') AS prediction_text FROM documents)"
+# every answer of a conversation is a prediction, the turn before it the target, all other turns the source; all whole
+_REC = """(SELECT c.conv_id * 1000 + c.turn AS doc_id, string_agg(coalesce(o.text, ''), chr(10) ORDER BY o.turn) AS input_text, coalesce(max(CASE WHEN o.turn = c.turn - 1 THEN o.text END), '') AS target_text,
+coalesce(c.text, '') AS prediction_text FROM conversations c JOIN conversations o ON o.conv_id = c.conv_id AND o.turn <> c.turn WHERE c.role = 'assistant' GROUP BY c.conv_id, c.turn, c.text)"""
 
 
 def _records(spark, d):
-    w = T.words(T.normalize_space(F.col("text")))
-    return _docs(spark, d).select(
-        "doc_id", "lang", F.col("text").alias("input_text"), T.truncate_words(F.col("text"), 60).alias("target_text"), F.array_join(F.slice(w, 21, 70), " ").alias("prediction_text")
-    )
+    c = _t(spark, d, "conversations").withColumn("text", T.text_of(F.col("text")))
+    turns = c.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "text"))).alias("turns"))
+    rows = c.where("role = 'assistant'").join(turns, "conv_id").withColumn("others", F.filter("turns", lambda x: x["turn"] != F.col("turn"))).where("size(others) > 0")
+    target = F.get(F.filter("others", lambda x: x["turn"] == F.col("turn") - 1), F.lit(0))["text"]
+    return rows.select(
+        (F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id"), F.array_join(F.col("others.text"), "\n").alias("input_text"),
+        T.text_of(target).alias("target_text"), F.col("text").alias("prediction_text"),
+    )
 
 
 _LEX = f"(SELECT *, {O.ngrams('p', 2)} AS p2, {O.ngrams('p', 3)} AS p3, {O.ngrams('s', 2)} AS s2, {O.ngrams('s', 3)} AS s3 FROM (SELECT *, {O.tokens('prediction_text')} AS p, {O.tokens('input_text')} AS s FROM {_REC}))"
@@ -587,7 +599,11 @@ def shuffled_order(spark, d):
     return _docs(spark, d).select("doc_id", F.row_number().over(order).alias("place"))
 
 
-@query()
+_WORDS = f"least({O.count_words(O.space('text'))}, 220)"
+
+
+@query(f"""SELECT doc_id, CASE WHEN w = 0 THEN 0 WHEN 6 * w <= 900 THEN 6 ELSE 900 // w + (900 % w >= 32)::INT END AS n,
+CASE WHEN 6 * w <= 900 THEN 6 * w WHEN 900 % w >= 32 THEN 900 ELSE 900 // w * w END AS words FROM (SELECT doc_id, {_WORDS} AS w FROM documents)""")
 def context_budget(spark, d):
     parts = F.array(*[F.col("text")] * 6)
     fitted = A.fit_contexts(parts)

@@ -21,8 +21,10 @@ def papers(rows: DataFrame, article: str = "article", abstract: str = "abstract"
     return rows.withColumns(clean).where((F.col(article) != "") & (F.col(abstract) != ""))
 
 
-def arrow_table(spark: SparkSession, path: str) -> DataFrame:
-    """Parquet, or Arrow IPC files, each read where its task runs."""
+def arrow_table(spark: SparkSession, path: str, split: str | None = None) -> DataFrame:
+    """Parquet, or Arrow IPC files, each read where its task runs; ``split`` names a folder of a data set that has several."""
+    if split and not path.rstrip("/").endswith(".parquet"):
+        path = f"{path.rstrip('/')}/{split}"
     if path.rstrip("/").endswith(".parquet"):
         return spark.read.parquet(path)
     import pyarrow as pa
@@ -86,6 +88,13 @@ def json_cell(c: Column, kind: str) -> Column:
     return F.from_json(F.when(F.trim(c) != "", c), kind)
 
 
+def json_cell_or_text(c: Column) -> Column:
+    """A cell that holds JSON as a variant; one that can't be read as such as a variant of its text, a blank one null."""
+    text = F.when(F.trim(c) != "", c)
+    quoted = F.to_json(F.struct(text.alias("t")))  # {"t":"..."}
+    return F.coalesce(F.try_parse_json(text), F.try_parse_json(F.substring(quoted, F.lit(6), F.length(quoted) - 6)))
+
+
 def profile(rows: DataFrame, text: str, target: str, most: int | None = 200_000) -> DataFrame:
     """One row: rows, empty texts and targets, and the least, mean, 95th percentile and greatest number of words of each.
 
@@ -100,6 +109,16 @@ def profile(rows: DataFrame, text: str, target: str, most: int | None = 200_000)
     return few.agg(*aggs)
 
 
+def validate_file(spark: SparkSession, path: str, text: str = "input_text", target: str = "target_text") -> DataFrame:
+    """``validate`` of a JSON-lines file, with ``exists``; of an absent one there is that and no count."""
+    from .writers import exists
+
+    if exists(spark, path):
+        return validate(spark.read.json(path), text, target).withColumn("exists", F.lit(True))
+    nothing = validate(spark.createDataFrame([], f"{text} string, {target} string"), text, target)
+    return nothing.select(*[F.lit(None).cast(k).alias(c) for c, k in nothing.dtypes], F.lit(False).alias("exists"))
+
+
 def validate(rows: DataFrame, text: str = "input_text", target: str = "target_text") -> DataFrame:
     """One row: rows, empty texts and targets, and the least, mean and greatest number of target words."""
     words = T.word_count(F.col(target))

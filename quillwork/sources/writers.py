@@ -62,13 +62,14 @@ def manifest(spark: SparkSession, content: dict, path: str) -> None:
     out.close()
 
 
-#: The files of a data set, and which split, design and mode each holds.
+#: The files of a data set, and which split, training setting, design and mode each holds.
 FILES = {
-    "train": ("train", None, None), "train_noiseaware": ("train", None, None), "train_clean_matched": ("train", "clean", None),
-    "valid": ("validation", None, None), "valid_noiseaware": ("validation", None, None), "valid_clean_matched": ("validation", "clean", None),
-    "test_clean": ("test", "clean", None), "test_noisy_easy": ("test", "additive", "easy"), "test_noisy_hard": ("test", "additive", "hard"),
-    "test_noisy_easy_additive": ("test", "additive", "easy"), "test_noisy_hard_additive": ("test", "additive", "hard"),
-    "test_noisy_easy_substitutive": ("test", "substitutive", "easy"), "test_noisy_hard_substitutive": ("test", "substitutive", "hard"),
+    "train": ("train", "noiseaware", None, None), "train_noiseaware": ("train", "noiseaware", None, None), "train_clean_matched": ("train", "clean_matched", None, None),
+    "valid": ("validation", "noiseaware", None, None), "valid_noiseaware": ("validation", "noiseaware", None, None),
+    "valid_clean_matched": ("validation", "clean_matched", None, None), "test_clean": ("test", None, "clean", None),
+    "test_noisy_easy": ("test", None, "additive", "easy"), "test_noisy_hard": ("test", None, "additive", "hard"),
+    "test_noisy_easy_additive": ("test", None, "additive", "easy"), "test_noisy_hard_additive": ("test", None, "additive", "hard"),
+    "test_noisy_easy_substitutive": ("test", None, "substitutive", "easy"), "test_noisy_hard_substitutive": ("test", None, "substitutive", "hard"),
 }
 
 
@@ -79,8 +80,10 @@ def data_set(rows: DataFrame, path: str) -> None:
 
 def data_file(table: DataFrame, name: str) -> DataFrame:
     """The rows of one file of the data set; partitions it doesn't need are not read."""
-    split, design, level = FILES[name]
+    split, setting, design, level = FILES[name]
     rows = table.where(F.col("split") == split)
+    if setting and "train_setting" in table.columns:
+        rows = rows.where(F.col("train_setting") == setting)
     if design:
         rows = rows.where(F.col("noise_design") == design)
     return rows.where(F.col("noise_mode").contains(level)) if level else rows

@@ -1,5 +1,6 @@
 """Chunking, vectors, distractors, assembly, metrics, reports, readers and writers."""
 
+import json
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -209,3 +210,73 @@ def test_data_set_files(spark, tmp_path):
     writers.data_set(df, str(tmp_path / "d"))
     table = spark.read.parquet(str(tmp_path / "d"))
     assert [writers.data_file(table, n).count() for n in ("test_noisy_easy", "test_clean", "train", "test_noisy_hard")] == [1, 1, 1, 0]
+
+
+def test_evaluation_end_to_end(spark, tmp_path):
+    from quillwork.plans import evaluate as E
+
+    models = [E.Model("bart_noise", "BART", "noiseaware"), E.Model("bart_clean", "BART", "clean_matched")]
+    files = ("test_clean.jsonl", "test_noisy_easy_additive.jsonl", "test_noisy_easy_substitutive.jsonl")
+    for m in models:
+        for k, f in enumerate(files):
+            rows = [(f"test_{i}", f"Alice met Bob in Paris {i}. They spoke of models number {i}.", f"Alice met Bob {i}.", f"Alice met {'Bob' if (i + k) % 2 else 'Eve'} {i}.", [1, 0], [1]) for i in range(12)]
+            df = spark.createDataFrame(rows, "paper_id string, input_text string, target_text string, prediction_text string, context_hit_flags array<int>, retrieved_hit_flags array<int>")
+            df.write.json(E.prediction_path(str(tmp_path / "in"), m, f))
+    got = E.predictions(spark, str(tmp_path / "in"), models, files)
+    made = E.evaluate(got, str(tmp_path / "out"), bootstrap=False)
+    assert {r["n"] for r in made["summary"].collect()} == {12} and made["compact"].count() == 6
+    assert {r["comparison"] for r in made["degradation"].collect()} == {"noisy_minus_clean_test"}
+    assert {r["condition"] for r in made["truncation"].collect()} == {"clean", "easy_additive", "easy_substitutive"}
+    assert spark.read.option("header", True).csv(str(tmp_path / "out/records.csv")).count() == 72
+    assert (tmp_path / "out/config.json").exists() and all((tmp_path / f"out/{name}.csv").exists() for name in made)
+    with pytest.raises(FileNotFoundError):
+        E.predictions(spark, str(tmp_path / "in"), models)
+
+
+def test_prediction_hook(spark, tmp_path):
+    from quillwork.plans import evaluate as E
+
+    rows = spark.createDataFrame([("a", "one two three"), ("b", "")], "paper_id string, input_text string")
+    m = E.Model("k", "T5", "clean_matched")
+    first = lambda texts: texts.str.split().str[0].fillna("")
+    assert E.predict(rows, str(tmp_path), m, "test_clean.jsonl", first) and not E.predict(rows, str(tmp_path), m, "test_clean.jsonl", first)
+    got = E.predictions(spark, str(tmp_path), [m], ("test_clean.jsonl",))
+    assert {(r.paper_id, r.prediction_text, r.architecture) for r in got.collect()} == {("a", "one", "T5"), ("b", "", "T5")}
+
+
+def test_cells_and_sections(spark, tmp_path):
+    cells = spark.createDataFrame([('{"a": 1}',), ("plain \"text",), (" ",), (None,), ("[1, 2]",)], "c string")
+    assert [r.v for r in cells.select(readers.json_cell_or_text(F.col("c")).cast("string").alias("v")).collect()] == ['{"a":1}', 'plain "text', None, None, "[1,2]"]
+    absent = readers.validate_file(spark, str(tmp_path / "none.jsonl")).first()
+    assert absent["exists"] is False and absent["n"] is None
+    row = spark.createDataFrame([("Method", "text"), (None, "text")], "s string, t string").select(A.with_section(F.col("s"), F.col("t")).alias("x")).collect()
+    assert [r.x for r in row] == ["[Method] text", "text"]
+
+
+def _papers(n, words=700):
+    return [(i, " ".join(f"w{(i * 31 + k * k) % 997}" for k in range(words)), " ".join(f"w{(i + k) % 97}" for k in range(30))) for i in range(n)]
+
+
+@pytest.mark.parametrize("control", ["repeat", "unique"])
+def test_data_set_end_to_end(spark, tmp_path, control):
+    from quillwork.plans import build as B
+
+    papers = lambda n: spark.createDataFrame(_papers(n), "doc_id long, article string, abstract string")
+    o = B.Options(train_limit=3, valid_limit=2, test_limit=2, noise_pool_limit=3, test_pool_offset=7, control=control)
+    table = B.build_data_set(papers(40), papers(20), papers(3), str(tmp_path), o=o)
+    n = {name: spark.read.json(str(tmp_path / f"{name}.jsonl")).count() for name in writers.FILES}
+    assert n["train"] == n["train_noiseaware"] == n["train_clean_matched"] == 9 and n["valid"] == n["valid_clean_matched"] == 6
+    assert n["test_clean"] == n["test_noisy_easy"] == n["test_noisy_hard_substitutive"] == 2
+    test = table.where("split = 'test'").collect()
+    pool = {f"train_{k}" for k in range(7, 10)}
+    for r in test:
+        own = [s for s, h in zip(r["context_source_doc_ids"], r["context_hit_flags"]) if h]
+        other = [s for s, h in zip(r["context_source_doc_ids"], r["context_hit_flags"]) if not h]
+        assert set(own) == {r["paper_id"]} and set(other) <= pool and len(other) == r["num_noise_chunks"] == (0 if r["noise_mode"] == "clean" else 2)
+        assert len(own) == (1 if r["noise_design"] == "substitutive" else 3) and r["retrieval_hits@3"] == len(own)
+        assert r["context_precision@5"] == pytest.approx(len(own) / len(r["context_chunk_ids"]))
+    if control == "unique":
+        ids = [r.paper_id for r in table.where("train_setting = 'clean_matched' and split = 'train'").collect()]
+        assert len(set(ids)) == 9
+    told = [json.loads((tmp_path / f"{name}.json").read_text()) for name in ("options", "target_filter", "noise_pool", "test_noise_pool", "checks", "manifest")]
+    assert told[2]["begin"] == 3 and told[3]["begin"] == 7 and told[4]["train"]["n"] == 9 and set(told[5]["files"]) == set(writers.FILES)

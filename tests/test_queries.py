@@ -35,7 +35,7 @@ def test_query(spark, db, data, name):
     assert got == rows
 
 
-@pytest.mark.parametrize("name", [n for n in base.QUERIES if n not in base.SQL and n != "build_examples"])
+@pytest.mark.parametrize("name", [n for n in base.QUERIES if n not in base.SQL])
 def test_runs(spark, data, name):
     assert base.QUERIES[name](spark, data).count() > 0
 
