@@ -6,6 +6,7 @@ import argparse
 import dataclasses
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,8 +35,6 @@ def prediction_path(folder: str, model: Model, test_file: str) -> str:
 def predict(rows: DataFrame, out: str, model: Model, test_file: str, predictor, overwrite: bool = False) -> bool:
     """Writes the predictions of ``rows`` (input_text and more) by a plugged-in ``predictor``, which takes a series of inputs and gives one of texts;
     False if they are there already."""
-    import pandas as pd
-
     def go(inputs: pd.Series) -> pd.Series:
         return pd.Series(list(predictor(inputs)), dtype=object)
 
