@@ -324,6 +324,28 @@ def test_lines_of_documents(spark):
     assert equal + 0.97 * (want - equal) <= len(dropped) <= want and want > equal + 20
 
 
+def test_links_without_a_shared_block(spark):
+    """Similar lines that share no run of words, or have no block at all, are linked."""
+    rng = random.Random(5)
+    rows = [(0, "hello world"), (1, "hello worls"), (2, "abcde"), (3, "abcdf"), (4, "abcd"), (5, "abce")]
+    for k in range(6):
+        line = " ".join("".join(rng.choices("abcdefghijklmnop", k=6)) for _ in range(40))
+        # one character of each word is another one: a seventh of the line
+        other = " ".join(w[:2] + "z" + w[3:] for w in line.split())
+        rows += [(10 + 2 * k, line), (11 + 2 * k, other)]
+    script = "".join(chr(0x4E00 + rng.randrange(3000)) for _ in range(60))  # no spaces
+    rows += [(30, script), (31, script[:30] + "x" + script[31:])]
+    pairs = _all_pairs([t for _, t in rows])
+    assert len(pairs) == 12
+    lost = {rows[b][0] for _, b in pairs}
+    got = {r.doc_id: r.n_kept for r in line_dedup.fuzzy_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: int(i not in lost) for i, _ in rows}
+
+
+def _all_pairs(lines):
+    return {(a, b) for b in range(len(lines)) for a in range(b) if _distance(lines[a], lines[b]) <= round(0.2 * max(len(lines[a]), len(lines[b])), 9)}
+
+
 @given(st.lists(st.sampled_from("a bb ccc dddd eeeee".split()), min_size=1, max_size=12), st.lists(st.sampled_from("a bb ccc dddd eeeee".split()), min_size=1, max_size=12))
 @settings(max_examples=12, deadline=None)
 def test_bound_of_distance(spark, a, b):
