@@ -19,6 +19,8 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import sentencepiece
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
@@ -51,6 +53,10 @@ class Pieces:
         self.id_of = {t: i for i, t in text.items()}
         self.byte = {int(sp.id_to_piece(i)[3:5], 16): i for i in range(n) if sp.is_byte(i)}
         self.raw = {i: t.encode() for i, t in text.items()} | {i: bytes([b]) for b, i in self.byte.items()}
+        # the same one after the other, with the size and the begin of each
+        self.raw_size = np.array([len(self.raw.get(i, b"")) for i in range(n)], np.int64)
+        self.raw_at = np.cumsum(self.raw_size) - self.raw_size
+        self.raw_bytes = np.frombuffer(b"".join(self.raw.get(i, b"") for i in range(n)), np.uint8)
         self.symbol = np.arange(0x110000, dtype=np.int32) + n  # by code point; those without a piece of their own come behind all
         for t, i in self.id_of.items():
             if len(t) == 1:
@@ -91,7 +97,10 @@ class Pieces:
 
     def join(self, ids: bytes) -> bytes:
         """What 32-bit ids stand for."""
-        return b"".join(map(self.raw.__getitem__, np.frombuffer(ids, np.int32).tolist()))
+        at = np.frombuffer(ids, np.int32)
+        size = self.raw_size[at]
+        end = np.cumsum(size)
+        return self.raw_bytes[np.repeat(self.raw_at[at] - end + size, size) + np.arange(end[-1] if len(at) else 0)].tobytes()
 
     def decode(self, ids) -> str:
         """The text that the ids are a segmentation of."""
@@ -151,45 +160,38 @@ def together(p: Pieces, words: list[str], keys: list[int], dropout: float) -> li
     size = int(length.max())
     sym = np.full((n, size + 1), -1, np.int32)
     sym[np.arange(size + 1) < length[:, None]] = p.symbol[np.frombuffer("".join(words).encode("utf-32-le"), np.uint32)]
+    live, now = np.arange(n), sym.copy()
     bound = np.tile(np.arange(size + 2, dtype=np.int16), (n, 1))  # where each symbol begins; the next one's begin is its end
     key = np.array(keys, np.uint64)[:, None]
-    cell = np.arange(size + 1)
-
-    def scores(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        s, m = p.lookup(sym[rows, :-1], sym[rows, 1:])
-        if dropout > 0:
-            b = bound[rows]
-            s = np.where(skipped(key[rows], b[:, :-2], b[:, 1:-1], b[:, 2:], dropout), _NONE, s)
-        return s, m
-
-    live = np.arange(n)
-    score, made = scores(live)
-    while len(live):
+    score, made = p.lookup(now[:, :-1], now[:, 1:])
+    if dropout > 0:
+        score = np.where(skipped(key, bound[:, :-2], bound[:, 1:-1], bound[:, 2:], dropout), _NONE, score)
+
+    def without(a: np.ndarray, row: np.ndarray, at: np.ndarray) -> np.ndarray:
+        keep = np.ones(a.shape, bool)
+        keep[row, at] = False
+        return a[keep].reshape(len(a), -1)
+
+    while True:
         best = score.argmax(1)
-        row = np.arange(len(live))
-        go = score[row, best] > _NONE
+        go = score[np.arange(len(live)), best] > _NONE
         if not go.all():
-            live, best, score, made = live[go], best[go], score[go], made[go]
-            row = row[: len(live)]
+            sym[live[~go], : now.shape[1]], sym[live[~go], now.shape[1] :] = now[~go], -1
+            live, best, now, bound, key, score, made = (x[go] for x in (live, best, now, bound, key, score, made))
         if not len(live):
             break
-        sym[live, best] = made[row, best]
-        gone = best[:, None] + 1
-        moved = np.minimum(cell + (cell >= gone), size)
-        s = np.take_along_axis(sym[live], moved, 1)
-        s[:, -1] = -1
-        sym[live] = s
-        wide = np.arange(size + 2)
-        bound[live] = np.take_along_axis(bound[live], np.minimum(wide + (wide >= gone), size + 1), 1)
-        pair = moved[:, : size]
-        score, made = np.take_along_axis(score, np.minimum(pair, size - 1), 1), np.take_along_axis(made, np.minimum(pair, size - 1), 1)
+        # each word that is left loses a symbol, so all stay of one width
+        row = np.arange(len(live))
+        now[row, best] = made[row, best]
+        now, bound = without(now, row, best + 1), without(bound, row, best + 1)
+        score, made = without(score, row, best), without(made, row, best)
         for side in (best - 1, best):
-            ok = np.flatnonzero((side >= 0) & (side < size))
-            r, c = live[ok], side[ok]
-            x, m = p.lookup(sym[r, c], sym[r, c + 1])
+            r = np.flatnonzero((side >= 0) & (side < score.shape[1]))
+            c = side[r]
+            x, m = p.lookup(now[r, c], now[r, c + 1])
             if dropout > 0:
                 x = np.where(skipped(key[r, 0], bound[r, c], bound[r, c + 1], bound[r, c + 2], dropout), _NONE, x)
-            score[ok, c], made[ok, c] = x, m
+            score[r, c], made[r, c] = x, m
     there = sym >= 0
     flat = sym[there].astype(np.int32).tobytes()
     at = np.concatenate(([0], 4 * np.cumsum(there.sum(1)))).tolist()
@@ -260,23 +262,25 @@ def encoder_of(path: str, seed: int, dropout: float) -> Encoder:
 
 
 def encoded(path: str, seed: int, dropout: float):
-    def go(batch: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def go(batch: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = encoder_of(path, seed, dropout)
-        for pdf in batch:
-            texts, variants = list(pdf["text"]), pdf["variant"].tolist()
+        for rows in batch:
+            sizes = pc.fill_null(pc.utf8_length(rows["text"]), 0).to_numpy(zero_copy_only=False)
             begin = size = 0
-            for i in range(len(texts) + 1):
-                if i == len(texts) or size > AT_ONCE:
-                    done = encoder.both_ways(texts[begin:i], variants[begin:i])
-                    ids = [x for x, _ in done]
-                    count = [None if x is None else len(x) for x in ids]
-                    yield pd.DataFrame({
-                        "doc_id": pdf["doc_id"].iloc[begin:i].to_numpy(), "n_pieces": pd.array(count, "Int64"), "ids": ids,
-                        "decoded_crc32": pd.array([x for _, x in done], "Int64"),
-                    })
+            for i in range(len(rows) + 1):
+                if i == len(rows) or size > AT_ONCE:
+                    part = rows.slice(begin, i - begin)  # only its texts are Python's at a time
+                    done = encoder.both_ways(part["text"].to_pylist(), part["variant"].to_pylist())
+                    none = np.array([x is None for x, _ in done], bool)
+                    count = np.array([0 if x is None else len(x) for x, _ in done], np.int32)
+                    ends = np.concatenate((np.zeros(1, np.int32), np.cumsum(count, dtype=np.int32)))
+                    flat = np.concatenate([np.empty(0, np.int32)] + [x for x, _ in done if x is not None])
+                    ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat), mask=pa.array(none))
+                    crc = pa.array([c for _, c in done], pa.int64())
+                    yield pa.RecordBatch.from_arrays([part["doc_id"], pa.array(count, pa.int64(), mask=none), ids, crc], ["doc_id", "n_pieces", "ids", "decoded_crc32"])
                     begin, size = i, 0
-                if i < len(texts):
-                    size += len(texts[i] or "")
+                if i < len(rows):
+                    size += int(sizes[i])
         release()
 
     return go
@@ -294,7 +298,7 @@ def both_ways(docs: DataFrame, path: str = MODEL, seed: int = SEED, dropout: flo
         F.pmod(F.xxhash64(F.lit(seed), F.col(id_col)), F.lit(VARIANTS)).cast("int").alias("variant"),
     )
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInPandas(encoded(path, seed, dropout), f"doc_id {kind}, n_pieces long, ids array<int>, decoded_crc32 long")
+    return rows.mapInArrow(encoded(path, seed, dropout), f"doc_id {kind}, n_pieces long, ids array<int>, decoded_crc32 long")
 
 
 def encode(docs: DataFrame, path: str = MODEL, seed: int = SEED, dropout: float = DROPOUT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

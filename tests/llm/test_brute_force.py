@@ -3,11 +3,13 @@
 import hashlib
 import random
 import re
+import zlib
 from collections import Counter
 
 import duckdb
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 import sentencepiece
 from hypothesis import given, settings
@@ -324,6 +326,20 @@ def test_lines_of_documents(spark):
     assert equal + 0.97 * (want - equal) <= len(dropped) <= want and want > equal + 20
 
 
+def test_pieces_of_an_arrow_batch(monkeypatch):
+    """Texts of an Arrow batch become Python's a few at a time, and the pieces of the result are the batch again."""
+    monkeypatch.setattr(sentencepiece_bpe, "AT_ONCE", 50)
+    texts = ["a word and another one " * 3, None, "", "short", "\u2581 z\U0001f600", "x" * 200, None, "the end"]
+    batch = pa.RecordBatch.from_pydict({"doc_id": pa.array(range(8), pa.int64()), "text": texts, "variant": pa.array([0, 1, 2, 3] * 2, pa.int32())})
+    parts = list(sentencepiece_bpe.encoded(sentencepiece_bpe.MODEL, 42, 0.1)(iter([batch])))
+    assert len(parts) > 2
+    rows = pa.Table.from_batches(parts).to_pylist()
+    want = sentencepiece_bpe.Encoder().encode(texts, [0, 1, 2, 3] * 2)
+    assert [r["ids"] for r in rows] == [None if x is None else x.tolist() for x in want]
+    assert [r["n_pieces"] for r in rows] == [None if x is None else len(x) for x in want] and [r["doc_id"] for r in rows] == list(range(8))
+    assert [r["decoded_crc32"] for r in rows] == [None if t is None else zlib.crc32(t.encode()) for t in texts]
+
+
 def test_links_without_a_shared_block(spark):
     """Similar lines that share no run of words, or have no block at all, are linked."""
     rng = random.Random(5)
