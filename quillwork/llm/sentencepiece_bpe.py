@@ -33,7 +33,7 @@ MODEL = os.environ.get("PIECE_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
 SEED = 42
 #: Share of the candidates that is skipped, and segmentations that a word has at most.
 DROPOUT, VARIANTS = 0.1, 4
-#: Segmentations that a Python worker remembers of its latest texts, and again as many of those before.
+#: Segmentations that a Python worker remembers: up to half of them of its latest texts, the others of those before.
 REMEMBERED = 600_000
 #: Words whose agendas run side by side, and characters of text that are encoded at once.
 TOGETHER, AT_ONCE = 4096, 3 << 20
@@ -212,7 +212,7 @@ class Encoder:
     def learn(self, variant: int, words: set[str]) -> None:
         known, older = self.known[variant], self.older[variant]
         new = words - known.keys()
-        if len(known) + len(new) > REMEMBERED // VARIANTS:
+        if len(known) + len(new) > REMEMBERED // (2 * VARIANTS):
             known, older, new = {}, known, words
             self.known[variant], self.older[variant] = known, older
         again = new & older.keys()

@@ -340,6 +340,17 @@ def test_pieces_of_an_arrow_batch(monkeypatch):
     assert [r["decoded_crc32"] for r in rows] == [None if t is None else zlib.crc32(t.encode()) for t in texts]
 
 
+def test_remembered_segmentations(monkeypatch):
+    """What a worker remembers is bounded, that of earlier texts too; what it has forgotten comes out the same again."""
+    monkeypatch.setattr(sentencepiece_bpe, "REMEMBERED", 400)
+    encoder = sentencepiece_bpe.Encoder()
+    texts = [" ".join(f"w{k}x{i}" for i in range(20)) for k in range(30)]
+    first = [encoder.encode([t], [0])[0].tolist() for t in texts]
+    for t, ids in zip(texts, first):
+        assert encoder.encode([t], [0])[0].tolist() == ids
+        assert sum(map(len, encoder.known)) + sum(map(len, encoder.older)) <= 400 // sentencepiece_bpe.VARIANTS
+
+
 def test_links_without_a_shared_block(spark):
     """Similar lines that share no run of words, or have no block at all, are linked."""
     rng = random.Random(5)
