@@ -25,7 +25,19 @@ COMMON = (
 CHAIN = 3
 _MARK = "\x01"
 _OTHER = r"[^\p{L}\p{N}]+"
-_ANCHOR = rf"(?<= )({'|'.join(sorted(set(COMMON), key=lambda w: (-len(w), w)))}) "
+
+
+def _branches(words: set[str]) -> str:
+    """A pattern of exactly these words that branches at each letter, so that no letter is tried for each word."""
+    by = {c: {w[1:] for w in words if w[:1] == c} for c in sorted({w[0] for w in words if w})}
+    each = [c + _branches(rest) for c, rest in by.items()]
+    if not each:
+        return ""
+    body = each[0] if len(each) == 1 and "" not in words else f"(?:{'|'.join(each)})"
+    return f"{body}?" if "" in words else body
+
+
+_ANCHOR = rf"(?<= )({_branches(set(COMMON))}) "
 _NO_ID = -(1 << 63)
 
 

@@ -263,6 +263,19 @@ def test_similar_fingerprints(spark):
     assert {(r.a, r.b) for r in got} == want and want
 
 
+def test_pattern_of_anchors():
+    """The pattern is of the common words alone, and tries no first letter twice."""
+    near = {w[:k] for w in spotsigs.COMMON for k in range(len(w))} | {w + c for w in spotsigs.COMMON for c in "aest"}
+    found = {w for w in near | set(spotsigs.COMMON) if re.search(spotsigs._ANCHOR, f" {w} ")}
+    assert found == set(spotsigs.COMMON)
+    depth, first = 0, []
+    for c, after in zip(spotsigs._ANCHOR[len("(?<= )(") :], spotsigs._ANCHOR[len("(?<= )(") + 1 :]):
+        depth += (c == "(") - (c == ")")
+        if c in "|:" and depth < 2:
+            first.append(after)
+    assert len(first) == len(set(first)) == len({w[0] for w in spotsigs.COMMON})
+
+
 def test_lines(spark):
     base = "the quick brown fox jumps over the lazy dog and runs away from here into the deep dark wood again".split()
     rows = [(0, " ".join(base)), (1, "Other line.\n" + " ".join(base).upper() + "!"), (2, "other  line\nwholly different words stand in this one here"), (3, "wholly different words stand in this one here\n\n")]
