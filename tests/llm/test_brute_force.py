@@ -1,6 +1,7 @@
 """Operators against brute force, exact round trips and held-out accuracy."""
 
 import hashlib
+import os
 import random
 import re
 import zlib
@@ -382,6 +383,45 @@ def test_links_without_a_shared_block(spark):
     assert got == {i: int(i not in lost) for i, _ in rows}
 
 
+def test_files_of_all_pairs(spark, monkeypatch):
+    """The comparison of all lines writes each once, whatever it meets."""
+    rng = random.Random(11)
+    rows = [(i, "".join(rng.choices("abcdefghijklmnopqrstuvwxyz ", k=rng.randrange(100, 120)))) for i in range(1500)]
+    folder = common.shared_folder(spark).removeprefix("file:")
+    size = lambda: sum(os.path.getsize(os.path.join(at, f)) for at, _, files in os.walk(folder) for f in files)
+    rest, grown = line_dedup._rest, []
+
+    def measured(*args):
+        before = size()
+        out = rest(*args)
+        out.count()
+        grown.append(size() - before)
+        return out
+
+    monkeypatch.setattr(line_dedup, "_rest", measured)
+    assert line_dedup.fuzzy_lines(spark.createDataFrame(rows, "doc_id long, text string")).where("n_kept = 1").count() == 1500
+    assert 0 < grown[0] < 3 * sum(len(t) for _, t in rows)
+
+
+def test_bounds_of_all_pairs(spark, monkeypatch):
+    """However the edits lie, and in whichever round, a pair at exactly the similarity is found and one beyond it is not."""
+    monkeypatch.setattr(line_dedup, "AT_ONCE", 900)
+    rng = random.Random(7)
+    rows = []
+    for k in range(24):
+        n = rng.choice([10, 40, 75, 150, 400])
+        base = [rng.choice("aeint" if k % 3 else "abcdefghijklmnopqrstuvwxyzé") for _ in range(n)]
+        # a letter for another, all at the begin, all at the end or anywhere; or the end is cut off
+        at = [range(n // 5), range(n - n // 5, n), rng.sample(range(n), n // 5), ()][k % 4]
+        other = [rng.choice("QWXZ").lower() if i in at else c for i, c in enumerate(base)] if at else base[n // 5 :]
+        rows += [(2 * k, "".join(base)), (2 * k + 1, "".join(other))]
+    rows += [(100, "e" * 30 + "x" * 9), (101, "e" * 30)]
+    lost = {rows[b][0] for _, b in _all_pairs([t for _, t in rows])}
+    assert 24 <= len(lost) < 48
+    got = {r.doc_id: r.n_kept for r in line_dedup.fuzzy_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: int(i not in lost) for i, _ in rows}
+
+
 def _all_pairs(lines):
     return {(a, b) for b in range(len(lines)) for a in range(b) if _distance(lines[a], lines[b]) <= round(0.2 * max(len(lines[a]), len(lines[b])), 9)}
 
