@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpoint, connected_components, documents
+from .common import checkpoint, connected_components, documents, maybe_among
 from .shingles import batches, mix, release, shingle_sets
 
 #: Minima of a node, each a shard that it goes to.
@@ -280,9 +280,11 @@ def verify(pairs: DataFrame, sets: DataFrame, similarity: float = SIMILARITY) ->
 
 
 def _sets(docs: DataFrame, nodes: DataFrame, wanted: DataFrame) -> DataFrame:
-    """``(node, shingles)`` of the ``wanted`` nodes, made anew from one text of each."""
+    """``(node, shingles)`` of the ``wanted`` nodes, made anew from one text of each; few other texts are shuffled."""
     named = nodes.join(wanted, "node", "left_semi")
-    texts = docs.join(named.select(F.col("first_id").alias("_qw_id")).distinct(), F.col("doc_id").eqNullSafe(F.col("_qw_id")), "left_semi")
+    ids = named.select(F.col("first_id").alias("_qw_id")).distinct()
+    some = maybe_among(docs, "doc_id", ids, "_qw_id").where("_qw_maybe").drop("_qw_maybe")
+    texts = some.join(ids, F.col("doc_id").eqNullSafe(F.col("_qw_id")), "left_semi")
     found = texts.select("text").mapInPandas(shingled, SETS).join(named.select("node", "d1", "d2"), ["d1", "d2"])
     return found.groupBy("node").agg(F.first("shingles").alias("shingles"))  # ids may repeat
 
@@ -355,14 +357,16 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def without_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` without near copies: of each class one row with the smallest id stays.
 
-    Only the dropped ids are joined.  Ids should tell the rows apart: of rows that repeat id and text one stays, and an id is
+    Only the dropped ids are joined, with the rows that a bit table doesn't tell from them.  Ids should tell the rows apart: of rows that repeat id and text one stays, and an id is
     dropped only if no row of it stays.
     """
     classes = checkpoint(near_classes(docs, id_col, text_col))
     stays = F.col("doc_id").eqNullSafe(F.col("class_id"))
     ids = classes.groupBy("doc_id").agg(F.max(stays).alias("stays"), F.count("*").alias("n"))
     dropped = ids.where(~F.col("stays")).select(F.col("doc_id").alias("_qw_id"))
-    kept = docs.join(dropped, F.col(id_col).eqNullSafe(F.col("_qw_id")), "left_anti")
+    marked = maybe_among(docs, id_col, dropped, "_qw_id")
+    kept = marked.where("_qw_maybe").join(dropped, F.col(id_col).eqNullSafe(F.col("_qw_id")), "left_anti")
+    kept = marked.where("not _qw_maybe").unionByName(kept).drop("_qw_maybe")
     again = ids.where("stays and n > 1").select(F.col("doc_id").alias("_qw_id"))
     if not again.isEmpty():
         same = F.col(id_col).eqNullSafe(F.col("_qw_id"))

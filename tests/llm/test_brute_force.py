@@ -104,6 +104,30 @@ def test_thousand_copies(spark):
     assert {got[i] for i in range(1500)} == {0}
 
 
+def _shuffled(spark):
+    """Bytes that were written to shuffles so far."""
+    sc = spark.sparkContext._jsc.sc()
+    sc.listenerBus().waitUntilEmpty()
+    executors = sc.statusStore().executorList(False)
+    return sum(executors.apply(i).totalShuffleWrite() for i in range(executors.size()))
+
+
+def test_few_texts_are_shuffled(spark):
+    """Texts without a near copy stay where they are, when sets are made anew and when copies are dropped."""
+    rng = random.Random(5)
+    texts = [" ".join(f"w{rng.randrange(10**9)}" for _ in range(2000)) for _ in range(200)]
+    rows = [(i if i != 9 else None, t) for i, t in enumerate(texts)] + [(1000, texts[3] + " more"), (1001, texts[9] + " more")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as for a table that is too large for it
+    try:
+        before = _shuffled(spark)
+        got = sorted(simhash_dedup.without_near_copies(df).collect(), key=str)
+        assert _shuffled(spark) - before < 0.5 * sum(map(len, texts))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert got == sorted([r for r in rows if r[0] not in (None, 1000)], key=str)
+
+
 def test_small_world_finds_neighbours():
     rng = np.random.default_rng(5)
     codes = rng.integers(0, 2**63, (600, 2)).astype(np.uint64)
