@@ -446,6 +446,34 @@ def test_bounds_of_all_pairs(spark, monkeypatch):
     assert got == {i: int(i not in lost) for i, _ in rows}
 
 
+def test_pieces_that_edits_leave(spark):
+    """No pair within the distance has fewer common pieces than the bound asks for, wherever the edits lie; unlike lines have."""
+    rng = random.Random(19)
+    rows = []
+    for k in range(150):
+        n = rng.choice([3, 10, 40, 120, 300])
+        x = rng.choices("abcdefghij klm" if k % 2 else "ab", k=n)
+        y, at = list(x), (0, n, rng.randrange(n))[k % 3]
+        for e in range(n // 5):
+            i = min(max(at, 0), len(y)) if k % 5 else rng.randrange(len(y) + 1)
+            if e % 2 and k % 4:
+                y.insert(i if k % 7 else len(y) - i, rng.choice("xyz"))
+            elif k % 8 < 4:
+                y[i : i + 1] = "x" if i < len(y) else ""
+            else:
+                del y[min(i, len(y) - 1)]
+        x, y = sorted(("".join(x), "".join(y)), key=len, reverse=True)
+        rows.append((x, y, _distance(x, y), len(x) // 5))
+    near = [r for r in rows if r[2] <= r[3]]
+    assert len(near) > 100
+    far = [("".join(rng.choices("abcdefghij klm", k=150)), "".join(rng.choices("abcdefghij klm", k=140)), 0, 30) for _ in range(20)]
+    for wide in (4, 9, 40):
+        df = spark.createDataFrame([(i, *r) for i, r in enumerate(near + far)], "id int, x string, y string, d int, most int")
+        df = df.select("id", line_dedup._pieces(F.col("x"), F.col("most"), wide).alias("p"), line_dedup._grams(F.col("y"), wide).alias("g"))
+        left = {r.id for r in df.where(F.size(F.array_intersect("p.hashes", "g")) >= F.col("p.least")).select("id").collect()}
+        assert left == set(range(len(near)))
+
+
 def _all_pairs(lines):
     return {(a, b) for b in range(len(lines)) for a in range(b) if _distance(lines[a], lines[b]) <= round(0.2 * max(len(lines[a]), len(lines[b])), 9)}
 
