@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..config import BUILD, SEED
 from ..functions import text as T
+from . import pairs
 
 
 #: Queries that are sent to every executor together.
@@ -87,7 +88,9 @@ def search(queries: DataFrame, docs: DataFrame, k: int) -> DataFrame:
     """Exact search by inner product; vectors of another length than the query's are an error."""
     if k < 0:
         raise ValueError("k must not be negative")
-    return top_k(scores(queries, docs), k)
+    if not 0 < k <= pairs.QUERY_BLOCK:  # a task has k pairs of each query of a block
+        return top_k(scores(queries, docs), k)
+    return top_k(pairs.nearest(queries, docs, k), k)
 
 
 def _mmr(scores_: np.ndarray, vectors: np.ndarray, k: int, weight: float) -> list[int]:
@@ -123,7 +126,7 @@ def retrieve(queries: DataFrame, docs: DataFrame, k: int = BUILD.final_k, weight
     """MMR over the top candidates: five times k of them, and 50 at least."""
     if k <= 0:
         raise ValueError("k must be positive")
-    best = top_k(scores(queries, docs), candidates or max(5 * k, 50))
+    best = search(queries, docs, candidates or max(5 * k, 50))
     return mmr(best.join(docs.select("doc_id", "embedding"), "doc_id"), k, weight)
 
 
@@ -137,7 +140,7 @@ def hard_negatives(
     queries: DataFrame, docs: DataFrame, n: int, exclude: DataFrame | None = None, candidates: int = 50, skip: int = 5, seed: int = SEED
 ) -> DataFrame:
     """For each query n at random of its nearest ``candidates``, without the ``skip`` nearest and the excluded."""
-    near = top_k(scores(queries, docs), candidates).where(F.col("rank") > skip)
+    near = search(queries, docs, candidates).where(F.col("rank") > skip)
     if exclude is not None:
         near = near.join(exclude.select("doc_id"), "doc_id", "left_anti")
     pick = F.row_number().over(Window.partitionBy("query_id").orderBy(T.keyed(seed, F.col("query_id"), F.col("doc_id"), "hard"), "doc_id"))
@@ -150,7 +153,7 @@ def training_contexts(
     """``(query_id, doc_id, relevant, pos)``: each query's MMR choice and negatives, shuffled by key.  Hard negatives come from the ranks right behind."""
     good = retrieve(queries, docs, final_k).select("query_id", "doc_id", F.lit(1).alias("relevant"))
     if hard:
-        near = top_k(scores(queries, docs), 50).where(F.col("rank") > final_k)
+        near = search(queries, docs, 50).where(F.col("rank") > final_k)
     else:
         near = scores(queries, docs)
     bad = near.select("query_id", "doc_id").join(good, ["query_id", "doc_id"], "left_anti")
