@@ -103,13 +103,15 @@ def examples(rows: DataFrame, query: Column, contexts: Column, target: Column, p
     return good, rows.withColumn("reject_reason", reason).where("reject_reason is not null")
 
 
-def gold_at_k(ranked: Column, relevant: Column, k: int) -> Column:
-    """retrieved, hits, precision over what was retrieved and recall over all relevant ones, among the first k."""
+def gold_at_k(ranked: Column, relevant: Column, k: int, size: Column | None = None) -> Column:
+    """retrieved, hits, precision over what was retrieved and recall over all relevant ones, among the first k.
+
+    With their number as ``size``, ``relevant`` may hold only those that are ranked."""
     top = F.slice(ranked, 1, k)
     hits = F.size(F.filter(top, lambda x: F.array_contains(relevant, x)))
     return F.struct(
         F.size(top).alias("retrieved"), hits.alias("hits"),
-        (hits / F.greatest(F.size(top), F.lit(1))).alias("precision"), (hits / F.greatest(F.size(relevant), F.lit(1))).alias("recall"),
+        (hits / F.greatest(F.size(top), F.lit(1))).alias("precision"), (hits / F.greatest(F.size(relevant) if size is None else size, F.lit(1))).alias("recall"),
     )
 
 

@@ -44,3 +44,11 @@ def test_halves_round_as_in_sql(spark):
     docs = spark.createDataFrame(v, "doc_id long, embedding array<double>")
     q = spark.createDataFrame([(0, [1.0, 0.5])], "query_id long, embedding array<double>")
     assert _rows(V.search(q, docs, 120).select("doc_id", "score")) == _rows(V.scores(q, docs).select("doc_id", "score"))
+
+
+def test_gold_needs_only_what_is_ranked(spark):
+    from quillwork.operators import assemble as A
+
+    df = spark.createDataFrame([([1, 2, 3], [2, 7, 8, 9], [2], 4)], "r array<int>, g array<int>, few array<int>, n int")
+    a, b = df.select(A.gold_at_k(F.col("r"), F.col("g"), 3).alias("a"), A.gold_at_k(F.col("r"), F.col("few"), 3, F.col("n")).alias("b")).first()
+    assert a == b and a.recall == 0.25
