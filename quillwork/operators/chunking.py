@@ -9,7 +9,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,6 +21,9 @@ CHUNK = (
     "section_index int, chunk_index_in_section int, chunking_method string"
 )
 
+#: Characters of texts whose chunks a task holds before it gives them out.
+HELD_CHARACTERS = 1_000_000
+
 
 def window_count(n: Column, size: int = CHUNKING.max_words, overlap: int = CHUNKING.overlap_words, least: int = CHUNKING.min_words) -> Column:
     """Number of windows of a text of n words: one each ``size - overlap`` words till the end is reached; a last one of fewer than
@@ -181,16 +184,30 @@ def chunk_text(text: str | None) -> list[dict]:
     return out
 
 
-def chunk_documents(docs: DataFrame, key: str = "paper_id", text: str = "article") -> DataFrame:
-    """``(chunk_uid, source_doc_id, chunk fields)`` of every text; a text without words has no row."""
+_CHUNKS = f"chunk_uid string, source_doc_id string, {CHUNK}"
+_ARROW = {"string": pa.string(), "int": pa.int32(), "boolean": pa.bool_()}
+
 
-    def go(batch: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = ["chunk_uid", "source_doc_id", *(c.split()[0] for c in CHUNK.split(", "))]
-        for pdf in batch:
-            rows = [{"source_doc_id": k, "chunk_uid": f"{k}_{c['chunk_id']}"} | c for k, t in zip(pdf["key"], pdf["text"]) for c in chunk_text(t)]
-            yield pd.DataFrame(rows, columns=names)
+def chunk_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The chunks of batches of (key, text), some texts at a time, however large a batch is."""
+    names = pa.schema([(c.split()[0], _ARROW[c.split()[1]]) for c in _CHUNKS.split(", ")])
+    for batch in batches:
+        rows: list[dict] = []
+        size = 0
+        for k, t in zip(batch.column(0), batch.column(1)):  # one text at a time is a Python string
+            k, t = k.as_py(), t.as_py()
+            rows += [{"source_doc_id": k, "chunk_uid": f"{k}_{c['chunk_id']}"} | c for c in chunk_text(t)]
+            size += len(t or "")
+            if size >= HELD_CHARACTERS:
+                yield pa.RecordBatch.from_pylist(rows, names)
+                rows, size = [], 0
+        if rows:
+            yield pa.RecordBatch.from_pylist(rows, names)
 
-    return docs.select(F.col(key).cast("string").alias("key"), F.col(text).alias("text")).mapInPandas(go, f"chunk_uid string, source_doc_id string, {CHUNK}")
+
+def chunk_documents(docs: DataFrame, key: str = "paper_id", text: str = "article") -> DataFrame:
+    """``(chunk_uid, source_doc_id, chunk fields)`` of every text; a text without words has no row."""
+    return docs.select(F.col(key).cast("string").alias("key"), F.col(text).alias("text")).mapInArrow(chunk_batches, _CHUNKS)
 
 
 def chunk_statistics(chunks: DataFrame, docs: DataFrame, key: str = "paper_id") -> DataFrame:
