@@ -8,6 +8,7 @@ from typing import Protocol
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -46,19 +47,23 @@ class HashedWords:
     def __init__(self, buckets: int = 64):
         self.buckets = buckets
 
+    def vectors(self, texts: pa.Array) -> pa.Array:
+        """One text at a time is a Python string, and the numbers go as one array."""
+        n, pattern = self.buckets, re.compile(T.TOKEN)
+        out = np.zeros((len(texts), n))
+        for i, t in enumerate(texts):
+            at = [zlib.crc32(w.lower().encode()) % n for w in pattern.findall(t.as_py() or "")]
+            out[i] = np.bincount(at, minlength=n) if at else 0
+        out /= np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-12)
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1, dtype=np.int32) * n), pa.array(out.reshape(-1)))
+
     def encode(self, text: Column) -> Column:
-        n = self.buckets
-        pattern = re.compile(T.TOKEN)
-
-        def vectors(texts: pd.Series) -> pd.Series:
-            out = np.zeros((len(texts), n))
-            for i, t in enumerate(texts):
-                at = [zlib.crc32(w.lower().encode()) % n for w in pattern.findall(t or "")]
-                out[i] = np.bincount(at, minlength=n) if at else 0
-            out /= np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-12)
-            return pd.Series(list(out))
-
-        return F.pandas_udf(vectors, "array<double>")(text)
+        def vectors(texts):
+            return self.vectors(texts)
+
+        # said here, since hints of this module are strings
+        vectors.__annotations__ = {"texts": pa.Array, "return": pa.Array}
+        return F.arrow_udf(vectors, "array<double>")(text)
 
 
 def scores(queries: DataFrame, docs: DataFrame, digits: int = 6) -> DataFrame:

@@ -1,8 +1,10 @@
 """Python functions over batches hold a bounded part of what they make."""
 
 import pyarrow as pa
+import pytest
 
 from quillwork.operators import chunking as C
+from quillwork.operators import vectors as V
 
 
 def test_chunks_of_a_batch_come_in_parts():
@@ -14,3 +16,10 @@ def test_chunks_of_a_batch_come_in_parts():
         given += part.to_pylist()
     assert [(r["source_doc_id"], r["text"]) for r in given] == [(str(i), c["text"]) for i, t in enumerate(texts) for c in C.chunk_text(t)]
     assert len(list(C.chunk_batches(iter([batch])))) > 2
+
+
+def test_vectors_are_one_array():
+    got = V.HashedWords(8).vectors(pa.array(["a b a", None, "", "a"]))
+    assert isinstance(got, pa.ListArray) and len(got.values) == 32  # no object a row
+    a, none, empty, one = got.to_pylist()
+    assert sum(x * x for x in a) == pytest.approx(1) and none == empty == [0.0] * 8 and sorted(one)[-1] == 1.0
