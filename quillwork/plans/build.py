@@ -22,8 +22,10 @@ from ..sources import readers, writers
 def chunk_table(papers: DataFrame, encoder: V.Encoder, least: int = BUILD.min_chunks) -> DataFrame:
     """Chunks with their vectors, of the papers (paper_id, article) that have at least ``least``."""
     chunks = C.chunk_documents_capped(C.chunk_documents(papers))
-    enough = chunks.groupBy("source_doc_id").count().where(F.col("count") >= least).select("source_doc_id")
-    chunks = chunks.join(enough, "source_doc_id", "left_semi")
+    if least > 1:  # a paper with chunks has one
+        chunks = kept(chunks)  # counted and taken, and cut once
+        enough = chunks.groupBy("source_doc_id").count().where(F.col("count") >= least).select("source_doc_id")
+        chunks = chunks.join(enough, "source_doc_id", "left_semi")
     return chunks.withColumn("embedding", encoder.encode(F.col("text"))).withColumn("doc_id", F.col("chunk_uid"))
 
 
